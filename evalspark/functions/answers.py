@@ -28,18 +28,21 @@ def unfenced(raw: Column) -> Column:
     return F.when(text.startswith(FENCE), inner).otherwise(text)
 
 
-def json_value(text: Column) -> Column:
+def json_in_list(text: Column) -> Column:
+    """Variant of the text put into a list; null if that is not JSON."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def single_value(text: Column, in_list: Column) -> Column:
     """Variant of a text that is exactly one JSON value, else null.
 
-    ``try_parse_json`` reads the first value and ignores what follows. Wrapping the
-    text in an object and in a list shows whether anything does.
+    ``try_parse_json`` reads the first value and ignores what follows. Whether
+    anything follows shows when the text stands in a list and in an object: the
+    list must hold one element, and both must be read without error.
     """
     in_object = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}")))
-    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    single = in_object.isNotNull() & in_list.isNotNull() & (
-        F.try_variant_get(in_list, "$[1]", "variant").isNull()
-    )
-    return F.when(single, F.try_parse_json(text))
+    only_one = in_object.isNotNull() & F.try_variant_get(in_list, "$[1]", "variant").isNull()
+    return F.when(only_one, F.try_variant_get(in_list, "$[0]", "variant"))
 
 
 def parse_state(raw: Column, value: Column) -> Column:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LN2 = math.log(2.0)
 
@@ -56,7 +57,7 @@ def chi2_upper(x: float, df: int) -> float:
     return min(1.0, total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_sf(q: pd.Series, df: pd.Series) -> pd.Series:
     """Upper chi-square tail per row; null where the statistic is null.
 

@@ -12,12 +12,13 @@ from evalspark.functions import answers as A
 
 def parse_answers(store: DataFrame, fields: Sequence[str], raw: str = "raw") -> DataFrame:
     """Add ``parse_state`` and the struct ``parsed``; null or empty text is an error."""
-    value = A.json_value(A.unfenced(F.col(raw)))
     return (
-        store.withColumn("_value", value)
+        store.withColumn("_text", A.unfenced(F.col(raw)))
+        .withColumn("_list", A.json_in_list(F.col("_text")))
+        .withColumn("_value", A.single_value(F.col("_text"), F.col("_list")))
         .withColumn("parse_state", A.parse_state(F.col(raw), F.col("_value")))
         .withColumn("parsed", F.when(F.col("parse_state") == A.OK, A.fields_of(F.col("_value"), fields)))
-        .drop("_value")
+        .drop("_text", "_list", "_value")
     )
 
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.operators.features import q
+from evalspark.operators.features import name
 from evalspark.plans.joins import skew_join
 
 
@@ -16,13 +15,10 @@ def axes(d: int, prefix: str = "x") -> list[str]:
     return [f"{prefix}{j}" for j in range(d)]
 
 
-def total(terms: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
-
-
 def rows_of(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """``(key, x0, x1, ..)`` of the rows that have every coordinate."""
-    rows = df.select(F.col(key), *[(q(c).cast("double") + F.lit(0.0)).alias(x) for c, x in zip(columns, axes(len(columns)))])
+    named = [f"cast({name(c)} as double) + 0D as {x}" for c, x in zip(columns, axes(len(columns)))]
+    rows = df.selectExpr(name(key), *named)
     return rows.dropna("any")
 
 
@@ -39,35 +35,34 @@ def spread_to_rows(rows: DataFrame, results: DataFrame, d: int, key: str) -> Dat
     return skew_join(rows, results, axes(d), [key])
 
 
+# Expressions over all axes are written as SQL text: one call instead of several per axis.
+
+
 def distance2(d: int, left: str = "x", right: str = "y") -> Column:
     """Squared distance, added up axis by axis in a fixed order."""
-    gaps = [F.col(a) - F.col(b) for a, b in zip(axes(d, left), axes(d, right))]
-    return total([g * g for g in gaps])
+    gaps = [f"({a} - {b})" for a, b in zip(axes(d, left), axes(d, right))]
+    return F.expr(" + ".join(f"{g} * {g}" for g in gaps))
 
 
 def box(d: int, lo: str = "lo", hi: str = "hi") -> list[Column]:
     """Aggregates for the box around a group of points."""
-    out = []
-    for j in range(d):
-        out += [F.min(f"x{j}").alias(f"{lo}{j}"), F.max(f"x{j}").alias(f"{hi}{j}")]
-    return out
+    return [F.expr(f"{f}(x{j}) as {n}{j}") for j in range(d) for f, n in (("min", lo), ("max", hi))]
+
+
+def _squares(gaps: Sequence[str]) -> Column:
+    return F.expr(" + ".join(f"{g} * {g}" for g in gaps))
 
 
 def gap2(d: int, lo_a: str, hi_a: str, lo_b: str, hi_b: str) -> Column:
     """Squared distance between two boxes; no two points of them are closer."""
-    gaps = [
-        F.greatest(
-            F.lit(0.0), F.col(f"{lo_a}{j}") - F.col(f"{hi_b}{j}"), F.col(f"{lo_b}{j}") - F.col(f"{hi_a}{j}")
-        )
-        for j in range(d)
-    ]
-    return total([g * g for g in gaps])
+    return _squares([f"greatest(0D, {lo_a}{j} - {hi_b}{j}, {lo_b}{j} - {hi_a}{j})" for j in range(d)])
 
 
 def reach2(d: int, lo_a: str, hi_a: str, lo_b: str, hi_b: str) -> Column:
     """Squared distance of the farthest corners; no two points are farther apart."""
-    gaps = [
-        F.greatest(F.col(f"{hi_a}{j}") - F.col(f"{lo_b}{j}"), F.col(f"{hi_b}{j}") - F.col(f"{lo_a}{j}"))
-        for j in range(d)
-    ]
-    return total([g * g for g in gaps])
+    return _squares([f"greatest({hi_a}{j} - {lo_b}{j}, {hi_b}{j} - {lo_a}{j})" for j in range(d)])
+
+
+def outside2(d: int) -> Column:
+    """Squared distance of a point from a box; 0 inside it."""
+    return _squares([f"greatest(0D, lo{j} - x{j}, x{j} - hi{j})" for j in range(d)])

@@ -21,6 +21,11 @@ def q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def name(column: str) -> str:
+    """Column name for SQL text."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def matrix(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
     """Rows x columns of an Arrow batch; a null becomes NaN."""
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(float)
@@ -39,8 +44,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     names = list(columns)
     alias = [f"x{i}" for i in range(len(names))]
-    data = df.select(*[F.nanvl(q(c).cast("double"), F.lit(None)).alias(a) for c, a in zip(names, alias)])
-    means = data.agg(*[F.coalesce(F.avg(a), F.lit(0.0)).alias(a) for a in alias]).first()
+    data = df.selectExpr(*[f"nanvl(cast({name(c)} as double), null) as {a}" for c, a in zip(names, alias)])
+    means = data.agg(*[F.expr(f"coalesce(avg({a}), 0D) as {a}") for a in alias]).first()
     centre = np.array([means[a] for a in alias])
     i, j = np.triu_indices(len(names), k=1)
 
@@ -71,7 +76,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     cov = n * F.col("p") - F.col("si") * F.col("sj")
     r = cov / F.sqrt(spread("si", "qi")) / F.sqrt(spread("sj", "qj"))
-    label = F.array(*[F.lit(c) for c in names])
+    label = F.lit(names)
     return pairs.select(
         "i", "j", label[F.col("i")].alias("a"), label[F.col("j")].alias("b"),
         F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"), n.cast("long").alias("n"),
@@ -179,22 +184,23 @@ def power_transform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _moments(df: DataFrame, columns: Sequence[str], ddof: int) -> list[tuple[float, float]]:
-    sd = F.stddev_samp if ddof else F.stddev_pop
-    row = df.agg(*[f(q(c)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", sd))]).first()
+    sd = "stddev_samp" if ddof else "stddev_pop"
+    facts = [f"{f}({name(c)}) as {n}{i}" for i, c in enumerate(columns) for n, f in (("m", "avg"), ("s", sd))]
+    row = df.agg(*[F.expr(f) for f in facts]).first()
     return [(row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0) for i in range(len(columns))]
 
 
 def standardize(df: DataFrame, columns: Sequence[str], ddof: int = 0) -> DataFrame:
     """Mean 0 and standard deviation 1 per column; a constant column becomes 0."""
     moments = zip(columns, _moments(df, columns, ddof))
-    return df.withColumns({c: (q(c) - m) / (s if s > 0 else 1.0) for c, (m, s) in moments})
+    return df.withColumns({c: F.expr(f"({name(c)} - {m!r}D) / {s if s > 0 else 1.0!r}D") for c, (m, s) in moments})
 
 
 def zscore(df: DataFrame, columns: Sequence[str], ddof: int = 1) -> DataFrame:
     """Distance from the mean in sample standard deviations; null for a constant column."""
     moments = zip(columns, _moments(df, columns, ddof))
     return df.withColumns(
-        {c: (q(c) - m) / s if s > 0 else F.lit(None).cast("double") for c, (m, s) in moments}
+        {c: F.expr(f"({name(c)} - {m!r}D) / {s!r}D" if s > 0 else "cast(null as double)") for c, (m, s) in moments}
     )
 
 
@@ -207,7 +213,7 @@ def fit_pca(df: DataFrame, columns: Sequence[str], k: int = 2) -> tuple[list[flo
     The largest loading of each component is positive, so the sign is settled.
     """
     means = [m for m, _ in _moments(df, columns, 0)]
-    centred = df.select(*[(q(c) - m).alias(f"c{i}") for i, (c, m) in enumerate(zip(columns, means))])
+    centred = df.selectExpr(*[f"{name(c)} - {m!r}D as c{i}" for i, (c, m) in enumerate(zip(columns, means))])
     vectors = VectorAssembler(inputCols=[f"c{i}" for i in range(len(columns))], outputCol="v").transform(centred)
     model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors.select("v"))
     loadings = model.pc.toArray()
@@ -221,8 +227,8 @@ def pca(df: DataFrame, columns: Sequence[str], k: int = 2, prefix: str = "pca_")
     means, loadings, _ = fit_pca(df, columns, k)
     scores = {}
     for j in range(k):
-        terms = [(q(c) - m) * float(loadings[i, j]) for i, (c, m) in enumerate(zip(columns, means))]
-        scores[f"{prefix}{j + 1}"] = sum(terms[1:], terms[0])
+        terms = [f"({name(c)} - {m!r}D) * {float(loadings[i, j])!r}D" for i, (c, m) in enumerate(zip(columns, means))]
+        scores[f"{prefix}{j + 1}"] = F.expr(" + ".join(terms))
     return df.withColumns(scores)
 
 

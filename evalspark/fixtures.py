@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.plans.storage import use_all_cores
+
 # Raters with the bounds (two hex digits of an md5) below which a
 # rater gets the name or the unit wrong.
 RATERS = [
@@ -32,6 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return use_all_cores(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     nation = table(spark, sf_dir, "nation")
@@ -64,7 +70,7 @@ def answers(spark: SparkSession, sf_dir: str, salt: str = "") -> DataFrame:
         )
 
     x = (
-        activities(spark, sf_dir)
+        use_all_cores(activities(spark, sf_dir))
         .withColumn("r", F.explode(raters))
         .select("*", "r.*")
         .withColumn("h1", draw("name"))
@@ -157,7 +163,7 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("case_id"), F.col("source").alias("model"), F.col("text").alias("draft")
     )
 

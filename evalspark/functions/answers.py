@@ -23,9 +23,10 @@ def unfenced(raw: Column) -> Column:
     ``json`` wherever it stands.
     """
     text = strip(raw)
-    inner = F.regexp_replace(text, "^`+|`+$", "")
-    inner = strip(F.regexp_replace(inner, "(?s)^(.*?)json", "$1"))
-    return F.when(text.startswith(FENCE), inner).otherwise(text)
+    bare = F.btrim(text, F.lit("`"))
+    at = F.instr(bare, "json")
+    inner = F.when(at > 0, F.overlay(bare, F.lit(""), at, F.lit(4))).otherwise(bare)
+    return F.when(text.startswith(FENCE), strip(inner)).otherwise(text)
 
 
 def json_in_list(text: Column) -> Column:

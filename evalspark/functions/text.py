@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 # The characters that text comparison treats as blank at the ends
 # of a value and between words (Unicode white space and separators).
-BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(value: Column) -> Column:
-    """Drop all white space at both ends; SQL ``trim`` drops only the space sign."""
-    return F.regexp_replace(value, f"^{BLANKS}+|{BLANKS}+$", "")
+    """Drop all white space at both ends; SQL ``trim`` alone drops only the space sign."""
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def normalize(value: Column) -> Column:
@@ -23,11 +26,8 @@ def normalize(value: Column) -> Column:
 
 
 def word_count(value: Column) -> Column:
-    """Number of words, split at white space; null counts as no words."""
-    words = F.split(F.coalesce(value, F.lit("")), f"{BLANKS}+")
-    return F.size(words) - F.when(words[0] == "", 1).otherwise(0) - F.when(
-        (F.size(words) > 1) & (F.element_at(words, -1) == ""), 1
-    ).otherwise(0)
+    """Number of words between white space, in one pass; null counts as no words."""
+    return F.regexp_count(F.coalesce(value, F.lit("")), F.lit(f"[^{BLANKS}]++"))
 
 
 def any_pattern(value: Column, patterns: Sequence[str]) -> Column:

@@ -108,9 +108,9 @@ def isolation_forest(
         return rows.select(key, F.lit(None).cast("double").alias(out))
     samples = _tree_samples(rows, trees, size, seed, n, key)
     schema = "tree int, node int, axis int, cut double, left int, right int, depth double"
-    nodes = samples.groupBy("tree").applyInPandas(_grow(d, seed), schema).orderBy("tree", "node").toPandas()
+    nodes = samples.groupBy("tree").applyInPandas(_grow(d, seed), schema).toPandas()
     forest = []
-    for _, t in nodes.groupby("tree"):
+    for _, t in nodes.sort_values(["tree", "node"]).groupby("tree"):
         forest.append(tuple(t[c].to_numpy() for c in ("axis", "cut", "left", "right", "depth")))
     shared = df.sparkSession.sparkContext.broadcast(forest)
     scale = path_length(min(n, size)) or 1.0

@@ -62,23 +62,24 @@ def correctness_matrix(correct: DataFrame, models: Sequence[str], key: str = "ca
 
 def mismatches(correct: DataFrame, fields: Sequence[str], keep: Sequence[str] = ("case_id", "model")) -> DataFrame:
     """Each wrong field with what was said and what is true; parse errors are left out."""
-    wrong = F.filter(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(f).alias("field"),
-                    F.col("parsed")[f].alias("predicted"),
-                    F.col("ground_truth")[f].alias("actual"),
-                    (normalize(F.col("parsed")[f]) != normalize(F.col("ground_truth")[f])).alias("wrong"),
-                )
-                for f in fields
-            ]
-        ),
-        lambda x: x["wrong"],
+    compared = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("field"),
+                F.col("parsed")[f].alias("predicted"),
+                F.col("ground_truth")[f].alias("actual"),
+                F.col("parse_state").alias("state"),
+            )
+            for f in fields
+        ]
     )
+    # The state is tested after the explode: before it, the optimizer would move the
+    # test below the parsing and parse every answer once more to answer it.
     return (
-        correct.filter(F.col("parse_state") != PARSE_ERROR)
-        .select(*keep, F.explode(wrong).alias("m"))
+        correct.select(*keep, F.explode(compared).alias("m"))
+        .filter(
+            (F.col("m.state") != PARSE_ERROR) & (normalize(F.col("m.predicted")) != normalize(F.col("m.actual")))
+        )
         .select(*keep, "m.field", "m.predicted", "m.actual")
     )
 

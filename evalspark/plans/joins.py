@@ -71,13 +71,14 @@ def lookup_join(
     on: list[str],
     spread_by: list[str],
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Join a large table to a lookup table with one row per key.
+    """Join a large table to a lookup table with few rows per key.
 
     The lookup table is broadcast if its counted size allows it, and joined by a
-    salted shuffle otherwise. It should be materialised, since counting reads it.
+    salted shuffle otherwise. It should be materialised, since counting reads it;
+    a caller that has counted it already passes ``small``.
     """
-    if is_small(table, max_rows):
+    if is_small(table) if small is None else small:
         return big.join(F.broadcast(table), on, how)
     return skew_join(big, table, on, spread_by, how)

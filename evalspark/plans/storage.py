@@ -29,12 +29,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably and drop its lineage.
 
-    Reliable checkpoints live in the shared folder, so the result outlives the
-    executors that computed it. The input is persisted while it is written,
-    which keeps the checkpoint from evaluating the plan twice.
+    The checkpoint lies in the shared folder, so it outlives the executors that
+    computed it, and later jobs start from it.
     """
     spark = df.sparkSession
     folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def use_all_cores(df: DataFrame, most: int = 64) -> DataFrame:
+    """Deal the rows of a small scan out over the cores.
+
+    A file of one row group is read by one task, whatever is done to its rows. A
+    scan that already has as many tasks is left as it is.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalspark import fixtures as X
 from evalspark.operators import anomaly, dbscan, features, kmeans, validity, ward
 from evalspark.operators.cleaning import complete_cases
-from evalspark.plans.storage import cut
+from evalspark.plans.storage import cut, use_all_cores
 from evalspark.queries.ctes import sql
 from evalspark.queries.records import d6, r6
 
@@ -31,7 +31,7 @@ SEVEN, WIDE, TWO = X.FEATURES7, X.FEATURES64, X.PLANTED
 
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
     """Seven features, power-transformed and scaled: the input of every fit. Written once."""
-    complete = cut(complete_cases(X.features7(spark, sf), SEVEN))
+    complete = use_all_cores(cut(complete_cases(X.features7(spark, sf), SEVEN)))
     return cut(features.standardize(features.power_transform(complete, SEVEN), SEVEN))
 
 
@@ -98,7 +98,7 @@ def h04_power_likelihood(spark, sf):
 
 @query()
 def h04_yeo_johnson(spark, sf):
-    return features.power_transform(X.features7(spark, sf), SEVEN)
+    return features.power_transform(use_all_cores(cut(X.features7(spark, sf))), SEVEN)
 
 
 def scaled_sql(sd: str) -> str:

@@ -316,7 +316,7 @@ select item, {norm('value')} as normalized from (
   union all select 'p' || cast(p_partkey as varchar), chr(9) || ' ' || p_name || chr(10) from part
   union all select 'e' || cast(event_id as varchar), cast(nullif(user_id, 8) as varchar) from events)""")
 def b11_normalize(spark, sf):
-    docs = X.table(spark, sf, "documents").select(
+    docs = X.documents(spark, sf).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("item"), normalize(F.col("text")).alias("normalized")
     )
     parts = X.table(spark, sf, "part").select(
@@ -334,7 +334,7 @@ def b11_normalize(spark, sf):
 select doc_id, cast(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as int) as words
 from documents""")
 def b12_word_count(spark, sf):
-    return X.table(spark, sf, "documents").select("doc_id", word_count(F.col("text")).alias("words"))
+    return X.documents(spark, sf).select("doc_id", word_count(F.col("text")).alias("words"))
 
 
 # --- C: samples and test sets -----------------------------------------------

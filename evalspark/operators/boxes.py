@@ -58,6 +58,13 @@ def gap2(d: int, lo_a: str, hi_a: str, lo_b: str, hi_b: str) -> Column:
     return _squares([f"greatest(0D, {lo_a}{j} - {hi_b}{j}, {lo_b}{j} - {hi_a}{j})" for j in range(d)])
 
 
+def apart_on_no_axis(d: int, lo_a: str, hi_a: str, lo_b: str, hi_b: str, eps: str) -> Column:
+    """Whether two boxes are within eps on each axis. Most far pairs fail on the first axes."""
+    return F.expr(
+        " and ".join(f"{lo_a}{j} - {hi_b}{j} <= {eps} and {lo_b}{j} - {hi_a}{j} <= {eps}" for j in range(d))
+    )
+
+
 def reach2(d: int, lo_a: str, hi_a: str, lo_b: str, hi_b: str) -> Column:
     """Squared distance of the farthest corners; no two points are farther apart."""
     return _squares([f"greatest({hi_a}{j} - {lo_b}{j}, {hi_b}{j} - {lo_a}{j})" for j in range(d)])

@@ -27,16 +27,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and drop its lineage.
+    """Write ``df`` to the shared folder and go on from the written table.
 
-    The checkpoint lies in the shared folder, so it outlives the executors that
-    computed it, and later jobs start from it.
+    The table outlives the executors that computed it and drops the lineage. Unlike
+    a checkpoint it is columnar, has a known size, so that small tables are
+    broadcast on that evidence, and leaves the optimizer no constraints to carry
+    from round to round of an iteration.
     """
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def use_all_cores(df: DataFrame, most: int = 64) -> DataFrame:
@@ -47,3 +47,12 @@ def use_all_cores(df: DataFrame, most: int = 64) -> DataFrame:
     """
     wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` into as many tasks as the session shuffles into.
+
+    For joins that are small in bytes but long to compute: adaptive execution would
+    merge their partitions into a few, which it does not do to a number asked for.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,17 +16,30 @@ NOT_OBJECT = "not_object"
 PARSE_ERROR = "parse_error"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` worked out once however often it is used.
+
+    A plain column that is used several times is copied into each use when the
+    optimizer moves a filter below it; a lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def unfenced(raw: Column) -> Column:
     """Answer text without a code fence.
 
     Inside a fence all leading and trailing back-ticks go, and so does the first
     ``json`` wherever it stands.
     """
-    text = strip(raw)
-    bare = F.btrim(text, F.lit("`"))
-    at = F.instr(bare, "json")
-    inner = F.when(at > 0, F.overlay(bare, F.lit(""), at, F.lit(4))).otherwise(bare)
-    return F.when(text.startswith(FENCE), strip(inner)).otherwise(text)
+
+    def without_word(bare: Column) -> Column:
+        at = F.instr(bare, "json")
+        return strip(F.when(at > 0, F.overlay(bare, F.lit(""), at, F.lit(4))).otherwise(bare))
+
+    return let(
+        strip(raw),
+        lambda text: F.when(text.startswith(FENCE), let(F.btrim(text, F.lit("`")), without_word)).otherwise(text),
+    )
 
 
 def json_in_list(text: Column) -> Column:
@@ -59,3 +72,17 @@ def parse_state(raw: Column, value: Column) -> Column:
 def fields_of(value: Column, fields: Sequence[str]) -> Column:
     """Struct of the named fields as text; a missing field is null."""
     return F.struct(*[F.try_variant_get(value, f"$.{f}", "string").alias(f) for f in fields])
+
+
+def read_answer(raw: Column, fields: Sequence[str]) -> Column:
+    """Struct of ``state`` and ``parsed`` (null unless the state is ``ok``)."""
+
+    def result(value: Column) -> Column:
+        return let(
+            parse_state(raw, value),
+            lambda state: F.struct(state.alias("state"), F.when(state == OK, fields_of(value, fields)).alias("parsed")),
+        )
+
+    return let(
+        unfenced(raw), lambda text: let(json_in_list(text), lambda in_list: let(single_value(text, in_list), result))
+    )

@@ -12,14 +12,8 @@ from evalspark.functions import answers as A
 
 def parse_answers(store: DataFrame, fields: Sequence[str], raw: str = "raw") -> DataFrame:
     """Add ``parse_state`` and the struct ``parsed``; null or empty text is an error."""
-    return (
-        store.withColumn("_text", A.unfenced(F.col(raw)))
-        .withColumn("_list", A.json_in_list(F.col("_text")))
-        .withColumn("_value", A.single_value(F.col("_text"), F.col("_list")))
-        .withColumn("parse_state", A.parse_state(F.col(raw), F.col("_value")))
-        .withColumn("parsed", F.when(F.col("parse_state") == A.OK, A.fields_of(F.col("_value"), fields)))
-        .drop("_text", "_list", "_value")
-    )
+    read = store.withColumn("_answer", A.read_answer(F.col(raw), fields))
+    return read.withColumns({"parse_state": F.col("_answer.state"), "parsed": F.col("_answer.parsed")}).drop("_answer")
 
 
 def reuse_answers(work: DataFrame, earlier: DataFrame, models: Sequence[str], keys: Sequence[str] = ("activity_uuid", "model")) -> DataFrame:

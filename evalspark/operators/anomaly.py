@@ -170,7 +170,7 @@ def lof(df: DataFrame, columns: Sequence[str], k: int = 20, key: str = "row_id",
     factor = (F.coalesce("t", F.lit(0.0)) + F.col("copies") * F.col("density")) / (F.lit(float(k)) * F.col("density"))
     scored = density.join(totals, "uid", "left").select("uid", factor.alias(out))
     results = points.join(scored, "uid").select(*axes(d), out)
-    return spread_to_rows(rows, results, d, key).select(key, out)
+    return spread_to_rows(rows, results, points, d, key).select(key, out)
 
 
 # --- agreement --------------------------------------------------------------

@@ -30,9 +30,13 @@ def distinct_points(rows: DataFrame, d: int, key: str) -> DataFrame:
     return rows.groupBy(*axes(d)).agg(F.min(key).alias("uid"), F.count("*").alias("w"))
 
 
-def spread_to_rows(rows: DataFrame, results: DataFrame, d: int, key: str) -> DataFrame:
-    """Give each row the results of its vector; vectors with many copies are salted."""
-    return skew_join(rows, results, axes(d), [key])
+def spread_to_rows(rows: DataFrame, results: DataFrame, points: DataFrame, d: int, key: str) -> DataFrame:
+    """Give each row the results of its vector; vectors with many copies are salted.
+
+    ``points`` are the distinct vectors, whose copies ``w`` have been counted.
+    """
+    counts = points.select(*axes(d), F.col("w").alias("_rows"))
+    return skew_join(rows, results, axes(d), [key], counts=counts)
 
 
 # Expressions over all axes are written as SQL text: one call instead of several per axis.

@@ -11,17 +11,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.stats import chi2_sf, mcnemar_p
+from evalspark.plans.storage import cut
 
 
 def answer_patterns(correct: DataFrame, by: Sequence[str] = (), key: str = "case_id") -> DataFrame:
     """How many cases show each pattern of right and wrong over the raters.
 
     ``pattern`` is a list of (model, correct), sorted by model. With k raters there
-    are at most 2**k patterns, so the tests below never see the cases again.
+    are at most 2**k patterns, so the tests below never see the cases again. The
+    counts are written out at once, as every test starts from them.
     """
     one = correct.groupBy(*by, key, "model").agg(F.max("correct").cast("int").alias("correct"))
     per_case = one.groupBy(*by, key).agg(F.array_sort(F.collect_list(F.struct("model", "correct"))).alias("pattern"))
-    return per_case.groupBy(*by, "pattern").agg(F.count("*").alias("n_cases"))
+    return cut(per_case.groupBy(*by, "pattern").agg(F.count("*").alias("n_cases")))
 
 
 def discordant(correct: DataFrame, a: str, b: str, by: Sequence[str] = (), key: str = "case_id") -> DataFrame:

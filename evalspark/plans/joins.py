@@ -18,16 +18,16 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and the number of shares to cut them in.
 
     The result never exceeds ``MAX_HOT_KEYS`` rows; a key left out holds less than
     a thousandth of the table.
     """
+    if counts is None:
+        counts = df.groupBy(*on).agg(F.count("*").alias("_rows"))
     return (
-        df.groupBy(*on)
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
+        counts.filter(F.col("_rows") > hot_rows)
         .orderBy(F.desc("_rows"), *on)
         .limit(MAX_HOT_KEYS)
         .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_shares"))
@@ -41,14 +41,16 @@ def skew_join(
     spread_by: list[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``big.join(other, on, how)`` with hot keys of ``big`` cut into salted shares.
 
     Rows of a hot key go to a share by the hash of ``spread_by``; the matching rows
     of ``other`` are repeated once per share. Keys that are not hot get one share,
     so only the hot part of ``other`` is repeated. ``how`` is ``inner`` or ``left``.
+    ``counts`` gives the rows per key as ``_rows``, where they are known already.
     """
-    hot = F.broadcast(hot_keys(big, on, hot_rows))
+    hot = F.broadcast(hot_keys(big, on, hot_rows, counts))
     left = (
         big.join(hot, on, "left")
         .withColumn(

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.plans.storage import cut
+
 # Largest number of distinct values one task or the driver may hold.
 SMALL = 100_000
 BINS = 2_000
@@ -17,9 +19,10 @@ def exact_quantile(df: DataFrame, column: str, q: float, small: int = SMALL) ->
 
     ``percentile`` keeps every distinct value in one buffer. Here the interval that
     holds the wanted ranks is narrowed by counting rows per bin, one job per step,
-    until few rows (or one repeated value) are left. Null for an empty column.
+    until few rows (or one repeated value) are left. The column is written out first,
+    as it is read several times. Null for an empty column.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).dropna()
+    x = cut(df.select(F.col(column).cast("double").alias("x")).dropna())
     n, low, high = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
     if n == 0:
         return None
@@ -63,11 +66,9 @@ def _order_statistic(x: DataFrame, rank: int, n: int, low: float, high: float, s
 def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add consecutive numbers 0..n-1 in the given order, without a global window.
 
-    ``df`` must be materialised: the rows are range-partitioned and each partition's
-    offset is the count of the ones before it.
+    The rows are range-partitioned and written out; each partition's offset is the
+    count of the ones before it.
     """
-    from evalspark.plans.storage import cut
-
     ranged = cut(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)

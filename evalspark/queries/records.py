@@ -672,9 +672,7 @@ def rater_comparison(spark: SparkSession, sf: str) -> DataFrame:
     The accuracies come from the same pattern counts as the tests, so the cases are
     read, parsed and shuffled once.
     """
-    from evalspark.plans.storage import cut
-
-    patterns = cut(sigtest.answer_patterns(scored(spark, sf)))  # at most 2**6 rows
+    patterns = sigtest.answer_patterns(scored(spark, sf))  # at most 2**6 rows
     raters = (
         patterns.select("n_cases", F.explode("pattern").alias("r"))
         .groupBy(F.col("r.model").alias("model"))

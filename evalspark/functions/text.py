@@ -27,7 +27,9 @@ def normalize(value: Column) -> Column:
 
 def word_count(value: Column) -> Column:
     """Number of words between white space, in one pass; null counts as no words."""
-    return F.regexp_count(F.coalesce(value, F.lit("")), F.lit(f"[^{BLANKS}]++"))
+    # Most signs of a word are in two ranges free of blanks, which are quick to test.
+    word = f"(?:[!-~\u00a1-\u167f]++|[^{BLANKS}])++"
+    return F.regexp_count(F.coalesce(value, F.lit("")), F.lit(word))
 
 
 def any_pattern(value: Column, patterns: Sequence[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the session names none, as in tests
-    on one machine.
+    A folder of our own is made only where the session names none and runs in one
+    process, as in tests. On a cluster a local folder would lose rows, so that is an
+    error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master or 'the cluster'} share")
         folder = tempfile.mkdtemp(prefix="evalspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

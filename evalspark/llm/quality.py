@@ -23,19 +23,18 @@ from pyspark.sql import functions as F
 
 WINDOW = 8
 FEATURES = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letters long, n_capitals long, n_marks long, n_ended long, n_alpha_words long"
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letters long, n_capitals long, n_marks long, n_ended long, n_alpha_words long, n_echoes long"
 )
 NAMES = [f.split()[0] for f in FEATURES.split(", ")]
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 ENDS = (b".", b"!", b"?", b":", b'"', b"\xe2\x80\x9d", b"\xe2\x80\xa6")
 
 
-def _repeated(words: list[bytes], window: int = WINDOW) -> int:
-    """Words in windows that are found at least twice, the first place included."""
-    n = len(words) - window + 1
+def _repeated(h: np.ndarray, window: int = WINDOW) -> int:
+    """Words, given as hashes, in windows that are found at least twice, the first place included."""
+    n = len(h) - window + 1
     if n < 2:
         return 0
-    h = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).view(np.uint64)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     w = np.zeros(n, dtype=np.uint64)
     for j in range(window):
@@ -47,48 +46,50 @@ def _repeated(words: list[bytes], window: int = WINDOW) -> int:
     again = np.zeros(n, dtype=bool)
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
-    steps = np.zeros(len(words) + 1, dtype=np.int64)
+    steps = np.zeros(len(h) + 1, dtype=np.int64)
     at = np.flatnonzero(again)
     np.add.at(steps, at, 1)
     np.add.at(steps, at + window, -1)
     return int((np.cumsum(steps)[:-1] > 0).sum())
 
 
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LETTERS = _CAPITALS + _CAPITALS.lower()
+_ASCII = bytes(range(128))
+# Of each byte: white space, a letter (or part of one) or usual punctuation, or a symbol.
+_KINDS = bytes(32 if c in SPACES else 97 if c >= 0x80 or c in _LETTERS or c in b".,;:!?)\"'" else 36 for c in range(256))
+
+
+def _without(b: bytes, some: bytes) -> int:
+    """How many bytes of ``b`` are among ``some``."""
+    return len(b) - len(b.translate(None, some))
+
+
 def features_of(text: str | None) -> tuple[int, ...]:
-    """The counts named in ``FEATURES``."""
+    """The counts named in ``FEATURES``; characters beyond ASCII count as letters."""
     if not text:
         return (0,) * len(NAMES)
     b = text.encode()
     words = b.split()
     lines = [x for x in b.split(b"\n") if x.strip()]
-    letters = sum(map(str.isalpha, text)) if not text.isascii() else len(b) - len(b.translate(None, _ASCII_LETTERS))
-    capitals = len(b) - len(b.translate(None, _ASCII_CAPITALS)) if text.isascii() else sum(map(str.isupper, text))
+    h = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).view(np.uint64)
+    kinds = b.translate(_KINDS)
     return (
         len(words),
-        len(text) - (len(b) - len(b.translate(None, SPACES))),
-        len(b) - len(b.translate(None, SYMBOLS)),
+        len(text) - _without(b, SPACES),
+        _without(b, SYMBOLS),
         len(lines) - len(set(lines)),
-        _repeated(words),
+        _repeated(h),
         len(lines),
-        letters,
-        capitals,
+        _without(b, _LETTERS) + len(text) - _without(b, _ASCII),
+        _without(b, _CAPITALS),
         b.count(b"!") + b.count(b"?"),
         sum(x.rstrip().endswith(ENDS) for x in lines),
-        len(words) - sum(map(_symbolic, words)),
+        len(words) - kinds.count(b"$ ") - kinds.endswith(b"$"),  # words that don't end in a symbol
+        int((h[1:] == h[:-1]).sum()),
     )
 
 
-_ASCII_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_ASCII_LETTERS = _ASCII_CAPITALS + _ASCII_CAPITALS.lower()
-_PLAIN_ENDS = frozenset(b".,;:!?)\"'")
-
-
-def _symbolic(word: bytes) -> bool:
-    """Whether a word ends in something that isn't a letter of any script or usual punctuation."""
-    c = word[-1]
-    return not (c >= 0x80 or 65 <= c <= 90 or 97 <= c <= 122 or c in _PLAIN_ENDS)
-
-
 def features(text: Column) -> Column:
     @F.pandas_udf(FEATURES)
     def counted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -124,12 +125,13 @@ class Rule:
 RULES = (
     Rule("length", "n_words", "n_texts", 50, 20),
     Rule("symbols", "n_symbols", "n_words", 0.02, 0.1),
-    Rule("repeats", "n_repeat_words", "n_words", 0.1, 0.3),
-    Rule("same_lines", "n_dup_lines", "n_lines", 0.1, 0.3),
+    Rule("repeats", "n_repeat_words", "n_words", 0.25, 0.4),
+    Rule("same_lines", "n_dup_lines", "n_lines", 0.35, 0.6),
     Rule("capitals", "n_capitals", "n_letters", 0.15, 0.4),
     Rule("word_length", "word_chars", "n_words", 9, 14),
     Rule("marks", "n_marks", "n_words", 0.03, 0.15),
     Rule("sentence_ends", "n_ended", "n_lines", 0.6, 0.2),
+    Rule("echoes", "n_echoes", "n_words", 0.03, 0.15),
     Rule("plain_words", "n_alpha_words", "n_words", 0.85, 0.6),
 )
 

@@ -99,6 +99,17 @@ def grow(rows: DataFrame, shards: int, dims: int, bins: int = 1024, tolerance: f
     return root
 
 
+def _with_bounds(within: DataFrame, todo: dict) -> DataFrame:
+    """``node, size, x, low, high`` of the rows of the nodes in ``todo``."""
+    if len(todo) == 1:
+        [(first, (n, lo, hi, *_))] = todo.items()
+        return within.filter(F.col("node") == first).select("node", "size", F.col(f"x{n.dim}").alias("x"), F.lit(float(lo)).alias("low"), F.lit(float(hi)).alias("high"))
+    asked = ", ".join(f"({first}, {n.dim}, {lo!r}D, {hi!r}D)" for first, (n, lo, hi, *_) in todo.items())
+    bounds = within.sparkSession.sql(f"SELECT * FROM VALUES {asked} AS t(node, dim, low, high)")  # a row per node of a level
+    x = F.array(*[c for c in within.columns if re.fullmatch(r"x\d+", c)])[F.col("dim")]
+    return within.join(F.broadcast(bounds), "node").select("node", "size", x.alias("x"), "low", "high")
+
+
 def _place_splits(within: DataFrame, todo: dict, bins: int) -> None:
     """Set ``at`` of each node: the border between bins closest to the wanted weight below it.
 
@@ -106,13 +117,9 @@ def _place_splits(within: DataFrame, todo: dict, bins: int) -> None:
     that interval, the wanted weight, and the weight of a bin that need not be cut further.
     """
     while todo:
-        asked = ", ".join(f"({first}, {n.dim}, {lo!r}D, {hi!r}D)" for first, (n, lo, hi, *_) in todo.items())
-        bounds = within.sparkSession.sql(f"SELECT * FROM VALUES {asked} AS t(node, dim, low, high)")  # a row per node of a level
-        x = F.array(*[c for c in within.columns if re.fullmatch(r"x\d+", c)])[F.col("dim")]
         place = F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins)
         counted = (
-            within.join(F.broadcast(bounds), "node")
-            .select("node", "size", x.alias("x"), "low", "high")
+            _with_bounds(within, todo)
             .filter(F.col("x").between(F.col("low"), F.col("high")))
             .groupBy("node", F.when(F.col("high") > F.col("low"), place).otherwise(0).alias("bin"))
             .agg(F.sum("size").alias("bytes"), F.min("x").alias("lo"), F.max("x").alias("hi"))

@@ -166,8 +166,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
     total = n.sum(axis=0)
     learned = total > 0  # a language without a single letter can't be told
     n, languages = n[:, learned], [x for x, y in zip(languages, learned) if y]
-    used = max(1, int((n.sum(axis=1) > 0).sum()))
-    logs = np.log((n + smoothing) / (total[learned] + smoothing * used))
+    logs = np.log((n + smoothing) / (total[learned] + smoothing * len(n)))
     return LanguageModel(languages, logs.astype(np.float32))
 
 

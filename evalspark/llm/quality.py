@@ -160,8 +160,9 @@ class VoteModel:
 def fit(voted: DataFrame, rules: int = len(RULES), rounds: int = 200, trust: float = 20.0) -> VoteModel:
     """Estimate all rules from the counts of vote patterns over every row.
 
-    A pattern starts as bad if any rule says so. ``trust`` is the weight, in documents,
-    of the prior belief that a rule's votes are right nine times out of ten.
+    A pattern starts as bad if any rule says so. ``trust`` is the weight, in documents, of
+    the prior belief about each rule: a good text hardly ever offends it, a bad one every
+    fifth time, since there are several ways to be bad.
     """
     names = [f"_v{j}" for j in range(rules)]
     found = voted.groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** rules
@@ -170,8 +171,8 @@ def fit(voted: DataFrame, rules: int = len(RULES), rounds: int = 200, trust: flo
 
 def fit_patterns(patterns: np.ndarray, n: np.ndarray, rounds: int = 200, trust: float = 20.0) -> VoteModel:
     rules = patterns.shape[1]
-    prior_good = np.tile(np.array([0.05, 0.4, 0.55]) * trust, (rules, 1))
-    prior_bad = np.tile(np.array([0.35, 0.4, 0.25]) * trust, (rules, 1))
+    prior_good = np.tile(np.array([0.005, 0.2, 0.795]) * trust, (rules, 1))
+    prior_bad = np.tile(np.array([0.2, 0.2, 0.6]) * trust, (rules, 1))
     good = np.where((patterns < 0).any(axis=1), 0.05, 0.95)
     order = np.lexsort(patterns.T[::-1]) if len(patterns) else np.zeros(0, dtype=np.int64)
     patterns, n, good = patterns[order], n[order], good[order]  # sums don't depend on the order of arrival

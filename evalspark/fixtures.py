@@ -148,17 +148,17 @@ def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("row_id"), (F.col("p_partkey") % 1500).alias("id")
+        F.col("p_partkey").alias("row_id"), F.col("p_partkey").alias("id")
     )
     i_ = F.col("id")
     far = i_ % 101 == 100
     return i.select(
         "row_id",
         (i_ % 4).cast("int").alias("truth"),
-        F.when(far, ((i_ * 37) % 200 - 100) * F.lit(1.0))
-        .otherwise(10 * (i_ % 2) + ((i_ * 7919) % 97) / F.lit(97.0)).alias("f00"),
-        F.when(far, ((i_ * 53) % 200 - 100) * F.lit(1.0))
-        .otherwise(5 * (i_ % 4 - i_ % 2) + ((i_ * 104729) % 89) / F.lit(89.0)).alias("f01"),
+        F.when(far, ((i_ * 3737) % 20011) / F.lit(100.0) - 100)
+        .otherwise(10 * (i_ % 2) + ((i_ * 7919) % 99991) / F.lit(99991.0)).alias("f00"),
+        F.when(far, ((i_ * 5353) % 20011) / F.lit(100.0) - 100)
+        .otherwise(5 * (i_ % 4 - i_ % 2) + ((i_ * 104729) % 99989) / F.lit(99989.0)).alias("f01"),
     )
 
 

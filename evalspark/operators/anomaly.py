@@ -44,7 +44,7 @@ def _tree_samples(rows: DataFrame, trees: int, size: int, seed: int, n: int, key
     """
     pool = 8 * trees * size
     unit = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / float(1 << 40))
-    candidates = rows.filter(unit < pool / n) if n > 2 * pool else rows
+    candidates = rows.filter(unit < pool / n)  # at every size; below ``pool`` rows all of them
     m = min(n, pool)
     keep = min(1.0, 4.0 * size / m)
 
@@ -134,9 +134,9 @@ def isolation_forest(
 
 
 def flag_top(df: DataFrame, score: str, contamination: float = CONTAMINATION, out: str = "is_anomaly") -> DataFrame:
-    """Flag the scores above the ``1 - contamination`` quantile."""
+    """Flag the scores above the ``1 - contamination`` quantile; null and NaN never are."""
     threshold = exact_quantile(df, score, 1.0 - contamination)
-    return df.withColumn(out, F.coalesce(F.col(score) > F.lit(threshold).cast("double"), F.lit(False)))
+    return df.withColumn(out, F.coalesce((F.col(score) > F.lit(threshold).cast("double")) & ~F.isnan(score), F.lit(False)))
 
 
 # --- local outlier factor (Breunig et al. 2000) -----------------------------

@@ -52,6 +52,10 @@ def key_phrase(name):
     return F.trim(F.split(F.split(name, ":")[1], r"\[")[0])
 
 
+# Characters of a phrase that names are looked up by.
+PIECE = 4
+
+
 def representative_candidates(available: DataFrame, targets: DataFrame, n: int = 3) -> DataFrame:
     """For each wanted column name: itself if available, else up to ``n`` near names.
 
@@ -68,8 +72,19 @@ def representative_candidates(available: DataFrame, targets: DataFrame, n: int =
     )
     missed = hit.filter(F.col("name").isNull()).drop("name")
     by_position = Window.partitionBy("target").orderBy("idx")
+    # A name that holds the phrase has the phrase's first letters at some place: an equality join finds it.
+    size = F.least(F.length("phrase"), F.lit(PIECE))
+    asked = missed.withColumn("piece", F.substring(F.col("phrase"), F.lit(1), size))
+    places = F.sequence(F.lit(1), F.length("name") + 1)
+
+    def pieces(n: int):
+        return F.transform(places, lambda i: F.substring(F.col("name"), i, F.lit(n)))
+
+    every = F.array_distinct(F.concat(*[pieces(n) for n in range(PIECE + 1)]))
+    by_piece = available.select("idx", "name", F.explode(every).alias("piece"))
+    held = asked.join(by_piece, "piece").filter(F.col("name").contains(F.col("phrase"))).select("target", "idx", "name")
     near = (
-        missed.join(F.broadcast(available), F.col("name").contains(F.col("phrase")), "left")
+        missed.join(held, "target", "left")
         .withColumn("rank", F.row_number().over(by_position))
         .filter(F.col("rank") <= n)
         .select("target", F.lit(False).alias("found"), "rank", "name")

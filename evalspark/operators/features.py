@@ -144,21 +144,26 @@ def fit_powers(df: DataFrame, columns: Sequence[str]) -> list[float]:
 
     Each job tries a grid of powers for all columns. A best power inside the grid
     narrows it eightfold, one at the edge moves it. A parabola through the best
-    three points of the last grid gives the result.
+    three points of the last grid gives the result. Points whose likelihood is not a
+    finite number are left out; a column that never comes to rest is an error.
     """
     centre = [0.0] * len(columns)
     step = [FIRST_STEP] * len(columns)
     result = [1.0] * len(columns)
     open_columns = set(range(len(columns)))
-    for _ in range(40):
+    for turn in range(60):
         if not open_columns:
-            break
+            return result
         grid = [[centre[j] + (g - GRID) * step[j] for g in range(2 * GRID + 1)] for j in range(len(columns))]
         tried = power_likelihood(df, columns, grid).collect()  # one row per column and grid point
         values = {(r["j"], r["g"]): r["loglik"] for r in tried}
         for j in list(open_columns):
             l = [values.get((j, g)) for g in range(2 * GRID + 1)]
-            if any(v is None or math.isnan(v) for v in l):
+            if turn == 0 and l[round(GRID + 1 / FIRST_STEP)] is None:  # the power 1 changes nothing: the column is constant
+                open_columns.discard(j)
+                continue
+            l = [-math.inf if v is None or not math.isfinite(v) else v for v in l]
+            if max(l) == -math.inf:
                 open_columns.discard(j)
                 continue
             best = max(range(len(l)), key=lambda g: l[g])
@@ -166,10 +171,12 @@ def fit_powers(df: DataFrame, columns: Sequence[str]) -> list[float]:
             if 0 < best < len(l) - 1:
                 if step[j] <= LAST_STEP:
                     bend = l[best - 1] - 2 * l[best] + l[best + 1]
-                    if bend < 0:
+                    if -math.inf < bend < 0:
                         result[j] += step[j] * 0.5 * (l[best - 1] - l[best + 1]) / bend
                     open_columns.discard(j)
                 step[j] /= GRID
+    if open_columns:
+        raise RuntimeError(f"no likeliest power found for {[columns[j] for j in sorted(open_columns)]}")
     return result
 
 

@@ -62,8 +62,12 @@ def avg_words(df: DataFrame, text: str = "draft", by: Sequence[str] = ("model",)
     )
 
 
-def missing_drafts(df: DataFrame, text: str = "draft", by: Sequence[str] = ("model",)) -> DataFrame:
-    return df.groupBy(*by).agg(F.count_if(~present(text)).alias("missing_drafts"))
+def missing_drafts(df: DataFrame, text: str = "draft", by: Sequence[str] = ("model",), cases: DataFrame | None = None) -> DataFrame:
+    """Texts that are not there; with ``cases``, one row per case, also those without a row."""
+    if cases is None:
+        return df.groupBy(*by).agg(F.count_if(~present(text)).alias("missing_drafts"))
+    n = F.any_value(cases.agg(F.count("*")).scalar())
+    return df.groupBy(*by).agg((n - F.count_if(present(text))).alias("missing_drafts"))
 
 
 def review_extract(df: DataFrame, cases: Sequence, models: Sequence[str], key: str = "case_id", text: str = "draft") -> DataFrame:

@@ -40,18 +40,31 @@ def _rate(count: str, total: str = "n_cases") -> dict[str, Column]:
     return {"accuracy": exact, "accuracy_pct": F.round(100.0 * exact, 1)}
 
 
-def field_accuracy(correct: DataFrame, fields: Sequence[str], by: Sequence[str] = ("model",)) -> DataFrame:
-    """Right answers per group and field, the exact rate and the rounded percentage."""
+def _n_cases(cases: DataFrame | None) -> Column:
+    """Rows of a group, or the number of all cases, answered or not."""
+    return F.count("*") if cases is None else F.any_value(cases.agg(F.count("*")).scalar())
+
+
+def field_accuracy(
+    correct: DataFrame, fields: Sequence[str], by: Sequence[str] = ("model",), cases: DataFrame | None = None
+) -> DataFrame:
+    """Right answers per group and field, the exact rate and the rounded percentage.
+
+    With ``cases``, one row per case, a case without an answer counts as wrong.
+    """
     sums = correct.groupBy(*by).agg(
-        F.count("*").alias("n_cases"), *[F.sum(f"{f}_correct").alias(f) for f in fields]
+        _n_cases(cases).alias("n_cases"), *[F.sum(f"{f}_correct").alias(f) for f in fields]
     )
     return sums.unpivot([*by, "n_cases"], list(fields), "field", "n_correct").withColumns(_rate("n_correct"))
 
 
-def overall_accuracy(correct: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Exact matches per group, the exact rate and the rounded percentage."""
+def overall_accuracy(correct: DataFrame, by: Sequence[str] = ("model",), cases: DataFrame | None = None) -> DataFrame:
+    """Exact matches per group, the exact rate and the rounded percentage.
+
+    With ``cases``, one row per case, a case without an answer counts as wrong.
+    """
     return correct.groupBy(*by).agg(
-        F.count("*").alias("n_cases"), F.sum("correct").alias("n_correct")
+        _n_cases(cases).alias("n_cases"), F.sum("correct").alias("n_correct")
     ).withColumns(_rate("n_correct"))
 
 

@@ -19,18 +19,31 @@ def answer_patterns(correct: DataFrame, by: Sequence[str] = (), key: str = "case
 
     ``pattern`` is a list of (model, correct), sorted by model. With k raters there
     are at most 2**k patterns, so the tests below never see the cases again. The
-    counts are written out at once, as every test starts from them.
+    counts are written out at once, as every test starts from them. A rater without a
+    row for a case of its family is wrong there.
     """
     one = correct.groupBy(*by, key, "model").agg(F.max("correct").cast("int").alias("correct"))
     per_case = one.groupBy(*by, key).agg(F.array_sort(F.collect_list(F.struct("model", "correct"))).alias("pattern"))
-    return cut(per_case.groupBy(*by, "pattern").agg(F.count("*").alias("n_cases")))
+    return cut(_completed(cut(per_case.groupBy(*by, "pattern").agg(F.count("*").alias("n_cases"))), by))
+
+
+def _completed(patterns: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Give every pattern all raters of its family, in order, and add up what became equal."""
+    raters = _grouped(patterns.select(*by, F.explode("pattern.model").alias("m")), by).agg(F.array_sort(F.collect_set("m")).alias("raters"))
+    named = patterns.join(raters, list(by)) if by else patterns.withColumn("raters", raters.scalar())
+    said = F.map_from_entries("pattern")
+    full = F.transform("raters", lambda m: F.struct(m.alias("model"), F.coalesce(said[m], F.lit(0)).alias("correct")))
+    return named.select(*by, full.alias("pattern"), "n_cases").groupBy(*by, "pattern").agg(F.sum("n_cases").alias("n_cases"))
 
 
 def discordant(correct: DataFrame, a: str, b: str, by: Sequence[str] = (), key: str = "case_id") -> DataFrame:
-    """Cases where only rater b is right, and where only rater a is right."""
+    """Cases where only rater b is right, and where only rater a is right.
+
+    A rater without a row for a case is wrong there.
+    """
     pair = correct.filter(F.col("model").isin(a, b)).groupBy(*by, key).agg(
-        F.max(F.when(F.col("model") == a, F.col("correct"))).alias("_a"),
-        F.max(F.when(F.col("model") == b, F.col("correct"))).alias("_b"),
+        F.coalesce(F.max(F.when(F.col("model") == a, F.col("correct").cast("int"))), F.lit(0)).alias("_a"),
+        F.coalesce(F.max(F.when(F.col("model") == b, F.col("correct").cast("int"))), F.lit(0)).alias("_b"),
     )
     counted = pair.groupBy(*by) if by else pair.groupBy()
     return counted.agg(
@@ -72,7 +85,7 @@ def mcnemar_exact(pairs: DataFrame, b: str = "a_wrong_b_right", c: str = "a_righ
 def cochrans_q(patterns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cochran's Q per family with its upper-tail probability; null if undefined.
 
-    Every rater must have judged every case of its family.
+    ``patterns`` holds every rater of a family in each pattern, as ``answer_patterns`` sees to.
     """
     n = F.col("n_cases")
     rater = (

@@ -5,31 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.plans.storage import cut
+
 # Rows of one key that a single task may take before the key is spread.
 HOT_ROWS = 200_000
-# At most this many keys can hold more than a thousandth of the rows.
-MAX_HOT_KEYS = 1_000
-# Largest table sent to every executor, counted before it is sent.
+# Largest table sent to every executor, counted and weighed before it is sent.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes, as JSON; reads no more rows than that."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, weight = df.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return rows <= max_rows and (weight or 0) <= max_bytes
 
 
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and the number of shares to cut them in.
-
-    The result never exceeds ``MAX_HOT_KEYS`` rows; a key left out holds less than
-    a thousandth of the table.
-    """
+    """Every key with more than ``hot_rows`` rows, and the number of shares to cut it in."""
     if counts is None:
         counts = df.groupBy(*on).agg(F.count("*").alias("_rows"))
     return (
         counts.filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *on)
-        .limit(MAX_HOT_KEYS)
         .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_shares"))
     )
 
@@ -48,9 +45,12 @@ def skew_join(
     Rows of a hot key go to a share by the hash of ``spread_by``; the matching rows
     of ``other`` are repeated once per share. Keys that are not hot get one share,
     so only the hot part of ``other`` is repeated. ``how`` is ``inner`` or ``left``.
-    ``counts`` gives the rows per key as ``_rows``, where they are known already.
+    ``counts`` gives the rows per key as ``_rows``, where they are known already. The
+    table of hot keys is broadcast if its counted size allows it, else joined by shuffle.
     """
-    hot = F.broadcast(hot_keys(big, on, hot_rows, counts))
+    hot = cut(hot_keys(big, on, hot_rows, counts))
+    if is_small(hot):
+        hot = F.broadcast(hot)
     left = (
         big.join(hot, on, "left")
         .withColumn(

@@ -20,17 +20,31 @@ def exact_quantile(df: DataFrame, column: str, q: float, small: int = SMALL) ->
     ``percentile`` keeps every distinct value in one buffer. Here the interval that
     holds the wanted ranks is narrowed by counting rows per bin, one job per step,
     until few rows (or one repeated value) are left. The column is written out first,
-    as it is read several times. Null for an empty column.
+    as it is read several times. NaN counts as null; infinite values are counted, not
+    searched. Null for an empty column.
     """
     x = cut(df.select(F.col(column).cast("double").alias("x")).dropna())
-    n, low, high = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    endless = F.col("x").isin(math.inf, -math.inf)
+    finite = F.when(~endless, F.col("x"))
+    n, below, above, low, high = x.agg(
+        F.count("x"), F.count_if(F.col("x") == -math.inf), F.count_if(F.col("x") == math.inf), F.min(finite), F.max(finite)
+    ).first()
     if n == 0:
         return None
+    x = x.filter(~endless)
+
+    def at(rank: int) -> float:
+        if rank < below:
+            return -math.inf
+        if rank >= n - above:
+            return math.inf
+        return _order_statistic(x, rank - below, n - below - above, low, high, small)
+
     rank = (n - 1) * q
     first, second = math.floor(rank), math.ceil(rank)
-    a = _order_statistic(x, first, n, low, high, small)
-    b = a if second == first else _order_statistic(x, second, n, low, high, small)
-    return a + (b - a) * (rank - first)
+    a = at(first)
+    b = a if second == first else at(second)
+    return a if a == b else a + (b - a) * (rank - first)
 
 
 def _order_statistic(x: DataFrame, rank: int, n: int, low: float, high: float, small: int) -> float:
@@ -38,9 +52,10 @@ def _order_statistic(x: DataFrame, rank: int, n: int, low: float, high: float, s
     below = 0  # rows known to be smaller than low
     inside = n
     while inside > small and low < high:
-        width = (high - low) / BINS
+        width = high / BINS - low / BINS
         if low + width <= low:
             break
+        last = (low, high)
         bins = (
             x.filter(F.col("x").between(low, high))
             .groupBy(F.least(F.floor((F.col("x") - low) / width), F.lit(BINS - 1)).alias("bin"))
@@ -53,6 +68,8 @@ def _order_statistic(x: DataFrame, rank: int, n: int, low: float, high: float, s
                 low, high, inside = b["lo"], b["hi"], b["n"]
                 break
             below += b["n"]
+        if (low, high) == last:
+            break
     if low == high:
         return low
     values = x.filter(F.col("x").between(low, high)).groupBy("x").count().orderBy("x")

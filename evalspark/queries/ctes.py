@@ -95,11 +95,11 @@ PARTS = {
   from embeddings""",
     "planted": """
   select row_id, cast(id % 4 as int) as truth,
-    case when id % 101 = 100 then ((id * 37) % 200 - 100) * 1e0
-         else 10 * (id % 2) + ((id * 7919) % 97) / 97e0 end as f00,
-    case when id % 101 = 100 then ((id * 53) % 200 - 100) * 1e0
-         else 5 * (id % 4 - id % 2) + ((id * 104729) % 89) / 89e0 end as f01
-  from (select p_partkey as row_id, p_partkey % 1500 as id from part)""",
+    case when id % 101 = 100 then ((id * 3737) % 20011) / 100e0 - 100
+         else 10 * (id % 2) + ((id * 7919) % 99991) / 99991e0 end as f00,
+    case when id % 101 = 100 then ((id * 5353) % 20011) / 100e0 - 100
+         else 5 * (id % 4 - id % 2) + ((id * 104729) % 99989) / 99989e0 end as f01
+  from (select p_partkey as row_id, p_partkey as id from part)""",
     "drafts": "select doc_id as case_id, source as model, text as draft from documents",
     "blocks": f"""
   select case_id, model, max(cast(event_type = model as int)) as correct

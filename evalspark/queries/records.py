@@ -61,7 +61,7 @@ N_META = 7
 
 def sheet_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Header lines of a sheet with one indicator per kind of part."""
-    kinds = X.table(spark, sf, "part").select("p_brand", "p_type", "p_name").distinct()
+    kinds = X.table(spark, sf, "part").select("p_brand", "p_type", "p_name").distinct()  # the columns of a sheet
     every = F.array_sort(F.collect_list(F.struct("p_brand", "p_type", "p_name")))  # one entry per column
     null = F.lit(None).cast("string")
     blank, tail = F.array_repeat(null, N_META), F.array_repeat(null, 3)
@@ -598,6 +598,60 @@ def f02_pairwise_discordant(spark, sf):
     return family_pairs(spark, sf)
 
 
+def gappy(df: DataFrame) -> DataFrame:
+    """An eighth of the rows is missing."""
+    return df.filter(F.md5(F.concat_ws("|", F.col("case_id").cast("string"), "model", F.lit("gap"))) >= "20")
+
+
+GAPPY = "md5(concat(cast(case_id as varchar), '|', model, '|gap')) >= '20'"
+FULL_SQL = f"""present as (select * from scored where {GAPPY}),
+  whole as (select c.case_id, m.model, coalesce(p.correct, 0) as correct,
+      {', '.join(f'coalesce(p.{f}_correct, 0) as {f}_correct' for f in FIELDS)}
+    from (select distinct case_id from scored) c cross join (select distinct model from present) m
+    left join present p on p.case_id = c.case_id and p.model = m.model)"""
+
+
+@query(sql(["scored"], """
+select a.model as model_a, b.model as model_b, count(*) filter (where a.correct = 0 and b.correct = 1) as a_wrong_b_right,
+  count(*) filter (where a.correct = 1 and b.correct = 0) as a_right_b_wrong
+from whole a join whole b on a.case_id = b.case_id and a.model < b.model group by all""", FULL_SQL))
+def f02_pairwise_discordant_gaps(spark, sf):
+    return sigtest.pairwise_discordant(sigtest.answer_patterns(gappy(scored(spark, sf))))
+
+
+@query(sql(["scored"], """
+select k as n_raters, cast(k - 1 as int) as df, round(k * (k - 1) * (c2 - total * total / k) / (k * total - r2), 4) + 0.0 as q
+from (select count(*) as k, sum(c) as total, sum(c * c) as c2 from (select model, cast(sum(correct) as double) as c from whole group by model))
+cross join (select sum(r * r) as r2 from (select case_id, cast(sum(correct) as double) as r from whole group by case_id))""", FULL_SQL))
+def f04_cochrans_q_gaps(spark, sf):
+    q = sigtest.cochrans_q(sigtest.answer_patterns(gappy(scored(spark, sf))))
+    return q.select("n_raters", "df", (F.round("q", 4) + F.lit(0.0)).alias("q"))
+
+
+@query(sql(["scored"], """
+select model, count(*) as n_cases, cast(sum(correct) as bigint) as n_correct,
+  round(avg(correct), 6) + 0.0 as accuracy from whole group by model""", FULL_SQL))
+def e05_overall_accuracy_gaps(spark, sf):
+    out = scoring.overall_accuracy(gappy(scored(spark, sf)), cases=X.truth(spark, sf))
+    return out.select("model", "n_cases", "n_correct", r6("accuracy").alias("accuracy"))
+
+
+@query(sql(["scored"], f"""
+select model, field, n_cases, n_correct from (
+  unpivot (select model, count(*) as n_cases, {', '.join(f'cast(sum({f}_correct) as bigint) as {f}' for f in FIELDS)} from whole group by model)
+  on {', '.join(FIELDS)} into name field value n_correct)""", FULL_SQL))
+def e04_field_accuracy_gaps(spark, sf):
+    out = scoring.field_accuracy(gappy(scored(spark, sf)), FIELDS, cases=X.truth(spark, sf))
+    return out.select("model", "field", "n_cases", "n_correct")
+
+
+@query(sql(["answers"], f"""
+select model, (select count(*) from part) - count(*) filter (where coalesce(raw, '') <> '') as missing_drafts
+from answers where {GAPPY} group by model"""))
+def g05_missing_drafts_gaps(spark, sf):
+    return rubric.missing_drafts(gappy(X.answers(spark, sf)), "raw", cases=X.truth(spark, sf))
+
+
 # The checking engine sums the binomial terms with its log-gamma function instead.
 P_SQL = PAIR_SQL + """, tested as (
   select *, case when a_wrong_b_right + a_right_b_wrong = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(
@@ -631,10 +685,22 @@ def f04_cochrans_q(spark, sf):
     return q.select("task", "n_raters", "df", (F.round("q", 4) + F.lit(0.0)).alias("q"))
 
 
-@query()
+# An upper tail by Simpson's rule over 4,000 steps, with the density's own factor from lgamma.
+@query(sql(FAMILY_PARTS, """
+select task, n_raters, df, round(case when q > 1400 then 0 else (select sum(
+    (case when i = 0 or i = 4000 then 1 when i % 2 = 1 then 4 else 2 end) * h / 3
+      * exp((df / 2.0 - 1) * ln(q + i * h) - (q + i * h) / 2 - (df / 2.0) * ln(2.0) - lgamma(df / 2.0)))
+  from (select 80.0 / 4000 as h, unnest(range(0, 4001)) as i)) end, 6) + 0.0 as p_value
+from qs""", FAMILY_SQL + """, qs as (
+select task, k as n_raters, cast(k - 1 as int) as df, k * (k - 1) * (c2 - total * total / k) / (k * total - r2) as q
+from (select task, count(*) as k, sum(c) as total, sum(c * c) as c2
+      from (select task, model, cast(sum(correct) as double) as c from families group by task, model) group by task)
+join (select task, sum(r * r) as r2 from (
+      select task, case_id, cast(sum(correct) as double) as r from families group by task, case_id) group by task)
+using (task))"""))
 def f05_chi2_sf(spark, sf):
     q = sigtest.cochrans_q(sigtest.answer_patterns(families(spark, sf), ["task"]), ["task"])
-    return q.select("task", "q", "df", "p_value")
+    return q.select("task", "n_raters", "df", (F.round("p_value", 6) + F.lit(0.0)).alias("p_value"))
 
 
 @query(sql(FAMILY_PARTS, """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METHOD_LINE, CATEGORY_LINE, INDICATOR_LINE, TITLE_LINE = 1, 2, 3, 4
@@ -40,31 +40,34 @@ def read_sheet(
     n_meta: int,
     required: str,
     header_lines: int = 4,
+    every_file: bool = False,
 ) -> DataFrame:
     """Clean feature table of a text sheet: metadata columns, then named indicators.
 
     ``meta`` lists (position, name) of the metadata columns to keep. Rows whose
-    ``required`` column is empty are dropped. The header is the top of the first
-    file; only those few lines reach the driver, to build the schema.
+    ``required`` column is empty are dropped, numbers that are not (``nan`` among them)
+    become null. The header is the top of the first file by name; only those few lines
+    reach the driver, to build the schema. Header rows are told by their place, in the
+    first file or, with ``every_file``, in each. Cells may hold line breaks; a file is
+    one task, so a large sheet should come in several files.
     """
-    text = spark.read.text(path)
-    head = [r["value"] for r in text.limit(header_lines).collect()]
-    numbered = spark.createDataFrame(list(enumerate(head, start=1)), "line_no int, value string")
-    n_cols = max((line.count(",") for line in head), default=0) + 1
-    schema = ", ".join(f"c{i} string" for i in range(n_cols))
+    rows = spark.read.option("multiLine", True).csv(path).select("*", "_metadata.file_path", F.monotonically_increasing_id().alias("_place"))
+    cells = [c for c in rows.columns if c not in ("file_path", "_place")]
+    starts = rows.groupBy("file_path").agg(F.min("_place").alias("_start"))  # one row per file
+    first = starts.agg(F.min("file_path")).first()[0]
+    placed = rows.join(starts, "file_path").withColumn("_line", F.col("_place") - F.col("_start") + 1)
+    in_header = F.col("_line") <= header_lines
+    of_first = F.col("file_path") == first
+    empty = [F.nullif(F.col(c), F.lit("")).alias(c) for c in cells]
+    head = placed.filter(in_header & of_first).select(F.col("_line").alias("line_no"), F.array(*empty).alias("cells"))
+    names = flatten_header(head, n_meta).orderBy("idx").collect()  # one row per column of the sheet
+    body = placed.filter(~in_header if every_file else ~(in_header & of_first)).select(*empty)
 
-    def parsed(df: DataFrame) -> DataFrame:
-        return df.select("*", F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
+    def number(c: str) -> Column:
+        x = F.col(c).try_cast("double")
+        return F.when(~F.isnan(x), x)
 
-    cells = F.array(*[F.nullif(F.col(f"r.c{i}"), F.lit("")) for i in range(n_cols)])
-    names = (
-        flatten_header(parsed(numbered).select("line_no", cells.alias("cells")), n_meta)
-        .orderBy("idx")
-        .collect()  # one row per column of the sheet
-    )
-    body = parsed(text.filter(~F.col("value").isin(head)))
     out = body.select(
-        *[F.nullif(F.col(f"r.c{i}"), F.lit("")).alias(name) for i, name in meta],
-        *[F.col(f"r.c{n['idx']}").try_cast("double").alias(n["name"]) for n in names],
+        *[F.col(cells[i]).alias(name) for i, name in meta], *[number(cells[n["idx"]]).alias(n["name"]) for n in names]
     )
     return out.dropna(subset=[required])

@@ -15,13 +15,14 @@ ANSWER_SCHEMA = "case_id long, model string, raw string, version long"
 
 
 def land_stream(
-    spark: SparkSession, landing: str, store: str, checkpoint: str, fields: Sequence[str], schema: str = ANSWER_SCHEMA
+    spark: SparkSession, landing: str, store: str, checkpoint: str, fields: Sequence[str], schema: str = ANSWER_SCHEMA,
+    files_per_batch: int = 1_000,
 ) -> StreamingQuery:
     """Parse every new answer file once and append it to the store as Parquet.
 
     Each micro-batch is written to a folder of its own number with overwrite, so a
     batch that is run again after a failure replaces itself. The query handles all
-    files present and ends; the next call takes up from the checkpoint.
+    files present, so many to a batch, and ends; the next call takes up from the checkpoint.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -29,6 +30,7 @@ def land_stream(
 
     return (
         spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", files_per_batch)
         .json(landing)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)

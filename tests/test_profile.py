@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.operators import anomaly, dbscan, features, kmeans, validity, ward
+from evalspark.plans import storage
 from evalspark.plans.joins import skew_join
 from evalspark.plans.order import exact_quantile, number_rows
 
@@ -111,11 +112,50 @@ def test_components_are_orthonormal(spark):
 # --- clustering -------------------------------------------------------------
 
 
-@pytest.mark.parametrize("sample", [100_000, 150])
-def test_kmeans(spark, sample):
+def test_kmeans_leaves_out_incomplete_rows(spark):
+    rows = [(i, float(i % 2) * 10 + i * 0.01, 1.0) for i in range(40)] + [(100, None, 1.0), (101, float("nan"), 2.0)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double")
+    labels = {r["row_id"]: r["cluster"] for r in kmeans.kmeans(df, ["a", "b"], 2).collect()}
+    assert labels == {i: i % 2 for i in range(40)}
+
+
+def test_quantile_with_infinite_and_nan_values(spark):
+    values = [float(i) for i in range(501)] + [float("inf")] * 5 + [float("-inf")] * 3 + [float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    finite = sorted(v for v in values if v is not None and v == v)
+    for q in (0.0, 0.001, 0.3, 0.5, 0.98, 1.0):
+        at = q * (len(finite) - 1)
+        a, b = finite[int(at)], finite[min(int(at) + 1, len(finite) - 1)]
+        want = a if at == int(at) or a == b else a + (b - a) * (at - int(at))
+        assert exact_quantile(df, "x", q, small=50) == pytest.approx(want)
+    flagged = anomaly.flag_top(df, "x", 0.02)
+    assert flagged.filter("is_anomaly and isnan(x)").count() == 0 and flagged.filter("is_anomaly").count() > 0
+
+
+def test_power_with_an_endless_likelihood(spark):
+    df = spark.createDataFrame([(10.0 ** (2 * i),) for i in range(84)], "x double")
+    assert abs(features.fit_powers(df, ["x"])[0]) < 0.5
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session())
+
+
+def test_kmeans(spark, monkeypatch):
     x = blobs(6, 600, 2)
     df, cols = frame(spark, x)
-    fits = kmeans.fit_kmeans(df, cols, [2, 4, 6], sample=sample)
+    fits = kmeans.fit_kmeans(df, cols, [2, 4, 6])
+    monkeypatch.setattr(kmeans, "LOCAL_NUMBERS", 0)
+    spread_out = kmeans.fit_kmeans(df, cols, [2, 4, 6])
+    for k in fits:  # the same answer, whatever the plan
+        assert fits[k][0] == pytest.approx(spread_out[k][0]) and np.allclose(fits[k][1], spread_out[k][1])
     costs = [fits[k][0] for k in (2, 4, 6)]
     assert costs == sorted(costs, reverse=True)
     cost, centers = fits[4]

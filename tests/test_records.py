@@ -1,11 +1,12 @@
 """Published values and edge cases of scores, tests, answers, stores and sources."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.functions.stats import chi2_upper
+from evalspark.functions.stats import chi2_upper, split_probability
 from evalspark.functions.text import amount_text, normalize, word_count
 from evalspark.operators import cleaning, describe, rubric, sampling, scoring, sigtest, store
 from evalspark.sources import sheet, stores, tables
@@ -174,6 +175,21 @@ def test_sheet(spark, tmp_path):
     assert sorted(tuple(r) for r in df.collect()) == [("iron", "CH", 1.5, 2.5), ("steel, hot", "GLO", 0.5, None)]
 
 
+def test_sheet_with_line_breaks_and_repeated_header_text(spark, tmp_path):
+    head = [",,,,,,,M,M", ",,,,,,,c,d", ",,,,,,,i,j", "uuid,,name,geo,product,unit,amount,kg,kg"]
+    (tmp_path / "a.csv").write_text("\n".join([*head, 'u1,,"two\nlines",GLO,p,kg,1,1,nan', "uuid,,name,geo,product,unit,amount,kg,kg"]) + "\n")
+    (tmp_path / "b.csv").write_text("u3,,third,CH,p,kg,1,3,4\n")
+    df = sheet.read_sheet(spark, str(tmp_path), [(2, "name")], 7, "name")
+    got = sorted((tuple(r) for r in df.collect()), key=str)
+    assert got == [("name", None, None), ("third", 3.0, 4.0), ("two\nlines", 1.0, None)]
+
+
+def test_large_split_takes_no_time():
+    start = time.perf_counter()
+    p = split_probability(5 * 10**8, 5_001 * 10**5)
+    assert 0.0015 < p < 0.0016 and time.perf_counter() - start < 1
+
+
 def test_pretty_printed_store(spark, tmp_path):
     (tmp_path / "s.json").write_text('{\n "1": {"id": 1, "a_raw": "x", "b_raw": null},\n "10": {"a_raw": "y"}\n}')
     rows = stores.read_store(spark, str(tmp_path), ["a", "b"], whole_file=True).collect()

@@ -162,6 +162,25 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four clusters of ``planted`` without the far points."""
+    return planted(spark, sf_dir).filter(F.col("row_id") % 101 != 100)
+
+
+RUBRIC_PHRASES = [
+    "The Goal of this study.", "Its intended use is open.", "For stakeholders.", "Per functional unit.", "Cradle-to-gate.", "One limitation.",
+    "No comparative assertions.", "Allocation by mass.", "Capital goods left out.", "See ISO 14040.", "goalkeeper", "",
+]
+
+
+def rubric_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts that end in one or two phrases of the rubric, by their number."""
+    phrases = F.array(*[F.lit(p) for p in RUBRIC_PHRASES])
+    n = len(RUBRIC_PHRASES)
+    some = F.concat_ws(" ", phrases[(F.col("case_id") % n).cast("int")], phrases[(F.col("case_id") % 7).cast("int")])
+    return drafts(spark, sf_dir).withColumn("draft", F.concat_ws(" ", "draft", some))
+
+
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(
         F.col("doc_id").alias("case_id"), F.col("source").alias("model"), F.col("text").alias("draft")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.fixtures import EVENT_TYPES, FEATURES64, FIELDS, RATERS
+from evalspark.fixtures import EVENT_TYPES, FEATURES64, FIELDS, RATERS, RUBRIC_PHRASES
 
 _MODELS = ", ".join(f"('{m}', '{n}', '{u}')" for m, n, u in RATERS)
 _TYPES = ", ".join(f"('{t}')" for t in EVENT_TYPES)
@@ -100,6 +100,12 @@ PARTS = {
     case when id % 101 = 100 then ((id * 5353) % 20011) / 100e0 - 100
          else 5 * (id % 4 - id % 2) + ((id * 104729) % 99989) / 99989e0 end as f01
   from (select p_partkey as row_id, p_partkey as id from part)""",
+    "separated": "select * from planted where row_id % 101 <> 100",
+    "rubric_drafts": "select case_id, model, concat_ws(' ', draft, concat_ws(' ', list_extract(p, case_id % "
+    + f"{len(RUBRIC_PHRASES)} + 1), list_extract(p, case_id % 7 + 1))) as draft from drafts cross join (select ["
+    + ", ".join(f"'{p}'" for p in RUBRIC_PHRASES) + "] as p)",
+    "scaled7": "select row_id, " + ", ".join(f"(f{j:02d} - avg(f{j:02d}) over ()) / stddev_pop(f{j:02d}) over () as f{j:02d}" for j in range(7))
+    + " from features7",
     "drafts": "select doc_id as case_id, source as model, text as draft from documents",
     "blocks": f"""
   select case_id, model, max(cast(event_type = model as int)) as correct
@@ -119,6 +125,9 @@ NEEDS = {
     "answers_hard": ["activities"],
     "parsed_hard": ["answers_hard"],
     "scored_hard": ["parsed_hard"],
+    "separated": ["planted"],
+    "rubric_drafts": ["drafts"],
+    "scaled7": ["features7"],
     "dirty": ["features7"],
     "clean": ["dirty"],
 }

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from evalspark import fixtures as X
 from evalspark.operators import anomaly, dbscan, features, kmeans, validity, ward
 from evalspark.operators.cleaning import complete_cases
-from evalspark.plans.storage import cut, use_all_cores
+from evalspark.plans.storage import cut, new_folder, use_all_cores
 from evalspark.queries.ctes import sql
 from evalspark.queries.records import d6, r6
+from evalspark.sources import tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,6 +97,16 @@ def h04_power_likelihood(spark, sf):
     return table.select(name, "power", (F.round("loglik", 4) + F.lit(0.0)).alias("loglik"))
 
 
+@query(sql(["features7"], f"""
+select name, arg_max(power, loglik) as power from ({LIKELIHOOD}) group by name""", "shifted as (select row_id, "
+           + ", ".join(f"{c} - 20 as {c}" if c in ("f00", "f06") else c for c in SEVEN) + " from features7)"))
+def h04_best_power(spark, sf):
+    shifted = X.features7(spark, sf).withColumns({c: F.col(c) - 20 for c in ("f00", "f06")})
+    table = features.power_likelihood(shifted, SEVEN, [POWERS] * len(SEVEN))
+    name = F.array(*[F.lit(c) for c in SEVEN])[F.col("j")].alias("name")
+    return table.select(name, "power", "loglik").groupBy("name").agg(F.max_by("power", "loglik").alias("power"))
+
+
 @query()
 def h04_yeo_johnson(spark, sf):
     return features.power_transform(use_all_cores(cut(X.features7(spark, sf))), SEVEN)
@@ -152,6 +163,15 @@ def i01_kmeans(spark, sf):
     return kmeans.kmeans(prepared(spark, sf), SEVEN, k=8).select("row_id", "cluster")
 
 
+NUMBERED = """numbered as (select truth, cast(row_number() over (order by avg(f00), avg(f01)) - 1 as int) as cluster
+  from separated group by truth)"""
+
+
+@query(sql(["separated"], "select row_id, cluster from separated join numbered using (truth)", NUMBERED))
+def i01_kmeans_separated(spark, sf):
+    return kmeans.kmeans(X.separated(spark, sf), TWO, k=4).select("row_id", "cluster")
+
+
 @query(sql(["long64"], f"""
 select {d6('sum(n * v)')} as inertia from (
   select cluster, j, count(*) as n, var_pop(x) as v from long64 group by cluster, j)"""))
@@ -159,6 +179,13 @@ def i02_inertia(spark, sf):
     return validity.inertia(X.wide_features(spark, sf), WIDE).withColumn("inertia", r6("inertia"))
 
 
+@query(sql(["separated"], """
+select 4 as k, round(sum(n * (a + b)), 6) + 0.0 as inertia
+from (select count(*) as n, var_pop(f00) as a, var_pop(f01) as b from separated group by truth)"""))
+def i03_choose_k_separated(spark, sf):
+    return kmeans.choose_k(X.separated(spark, sf), TWO, [4], tol=1e-12).select("k", r6("inertia").alias("inertia"))
+
+
 @query()
 def i03_choose_k(spark, sf):
     return kmeans.choose_k(prepared(spark, sf), SEVEN)
@@ -220,6 +247,11 @@ def i07_ward(spark, sf):
     return ward.ward(prepared(spark, sf), SEVEN, k=8).select("row_id", "cluster")
 
 
+@query(sql(["separated"], "select row_id, cluster from separated join numbered using (truth)", NUMBERED))
+def i07_ward_separated(spark, sf):
+    return ward.ward(X.separated(spark, sf), TWO, k=4).select("row_id", "cluster")
+
+
 @query()
 def i07_ward_planted(spark, sf):
     return ward.ward(X.planted(spark, sf), TWO, k=4).select("row_id", "cluster")
@@ -249,6 +281,14 @@ def density_sql(eps: list[float]) -> str:
     left join numbered c on c.eps = e.eps and c.id = p.row_id left join border b on b.eps = e.eps and b.id = p.row_id)"""
 
 
+GAP7 = " + ".join(f"(p.f{j:02d} - o.f{j:02d}) * (p.f{j:02d} - o.f{j:02d})" for j in range(7))
+GAP2 = "(p.f00 - o.f00) * (p.f00 - o.f00) + (p.f01 - o.f01) * (p.f01 - o.f01)"
+
+
+def scaled(spark: SparkSession, sf: str) -> DataFrame:
+    return cut(features.standardize(X.features7(spark, sf), SEVEN))
+
+
 def recursive(text: str) -> str:
     return text.replace("with ", "with recursive ", 1)
 
@@ -258,6 +298,11 @@ def i08_dbscan(spark, sf):
     return dbscan.dbscan(X.planted(spark, sf), TWO, 0.5).select("row_id", "cluster")
 
 
+@query(recursive(sql(["scaled7"], "select row_id, cluster from labels", density_sql([1.0]).replace(GAP2, GAP7).replace("planted", "scaled7"))))
+def i08_dbscan_scaled(spark, sf):
+    return dbscan.dbscan(scaled(spark, sf), SEVEN, 1.0).select("row_id", "cluster")
+
+
 @query()
 def i08_dbscan_features(spark, sf):
     return dbscan.dbscan(prepared(spark, sf), SEVEN, 1.0).select("row_id", "cluster")
@@ -337,6 +382,34 @@ def clusterings(spark, sf) -> dict[str, DataFrame]:
     return out
 
 
+@query(sql(["separated"], """
+select cluster, 'kmeans' as method, count(*) as n from separated join numbered using (truth) group by cluster
+union all select cluster, 'agglomerative', count(*) from separated join numbered using (truth) group by cluster""", NUMBERED))
+def i16_label_table_separated(spark, sf):
+    data = X.separated(spark, sf)
+    table = validity.label_table({"kmeans": kmeans.kmeans(data, TWO, 4), "agglomerative": ward.ward(data, TWO, 4)})
+    long = table.unpivot(["row_id"], ["kmeans", "agglomerative"], "method", "cluster")
+    return long.groupBy("cluster", "method").agg(F.count("*").alias("n"))
+
+
+@query(sql(["separated"], """
+select 'rows where cluster = ' || cast(cluster as varchar) as "check", count(*) as written, count(*) as expected, true as ok
+from separated join numbered using (truth) group by cluster
+union all select 'rows', count(*), count(*), true from separated
+union all select 'columns of the same type', 9, 9, true""", NUMBERED))
+def p01_labelled_profile(spark, sf):
+    """Cluster, outlier flag and component scores beside the metadata, in one table, written and read back."""
+    data = cut(X.separated(spark, sf).drop("truth"))
+    groups = kmeans.kmeans(data, TWO, 4).select("row_id", "cluster")
+    flags = anomaly.flag_top(cut(anomaly.isolation_forest(data, TWO)), "score")
+    scores = features.pca(data, TWO, 2).select("row_id", "pca_1", "pca_2")
+    about = X.activities(spark, sf).select(F.col("activity_uuid").alias("row_id"), "activity_name", "geography")
+    whole = cut(groups.join(flags, "row_id").join(scores, "row_id").join(about, "row_id").join(data.select("row_id", "f00"), "row_id"))
+    path = new_folder(spark, "profile")
+    tables.save_table(whole, path)
+    return tables.verify_sink(whole, path, "cluster")
+
+
 @query()
 def i15_compare_clusterings(spark, sf):
     return validity.compare_clusterings(clusterings(spark, sf), SEVEN)
@@ -355,6 +428,16 @@ def j01_isolation_forest(spark, sf):
     return anomaly.isolation_forest(prepared(spark, sf), SEVEN)
 
 
+@query(sql(["planted"], """
+select count(*) filter (where row_id % 101 = 100) as far, count(*) filter (where row_id % 101 = 100) as far_in_front from planted"""))
+def j01_isolation_far(spark, sf):
+    """Every far point scores above the mean of the others."""
+    scores = cut(anomaly.isolation_forest(X.planted(spark, sf), TWO))
+    far = F.col("row_id") % 101 == 100
+    mean = scores.filter(~far).agg(F.avg("score")).scalar()
+    return scores.agg(F.count_if(far).alias("far"), F.count_if(far & (F.col("score") > mean)).alias("far_in_front"))
+
+
 @query("""
 select event_id, value > (select quantile_cont(value, 0.98) from events) as is_anomaly from events""")
 def j02_flag_top(spark, sf):
@@ -378,6 +461,14 @@ def j03_lof(spark, sf):
     return anomaly.lof(X.planted(spark, sf), TWO).withColumn("lof", r6("lof"))
 
 
+@query(sql(["scaled7"], f"""
+select n.row_id, {d6('avg(o.density / p.density)')} as lof from near n
+join dens p on p.row_id = n.row_id join dens o on o.row_id = n.other group by n.row_id""",
+    LOF_SQL.replace(GAP2, GAP7).replace("partition by f00, f01", f"partition by {', '.join(SEVEN)}").replace("planted", "scaled7")))
+def j03_lof_scaled(spark, sf):
+    return anomaly.lof(scaled(spark, sf), SEVEN).withColumn("lof", r6("lof"))
+
+
 @query()
 def j03_lof_features(spark, sf):
     return anomaly.lof(prepared(spark, sf), SEVEN)

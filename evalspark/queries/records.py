@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalspark import fixtures as X
 from evalspark.functions.text import normalize, word_count
 from evalspark.operators import cleaning, describe, rubric, sampling, scoring, sigtest, store
-from evalspark.plans.storage import new_folder
+from evalspark.plans.storage import cut, new_folder
 from evalspark.queries.ctes import norm, sql
 from evalspark.sources import sheet, stores, tables
 from evalspark.streaming import landing
@@ -191,6 +191,85 @@ def a10_verify_sink(spark, sf):
     return tables.verify_sink(df, path, "cluster")
 
 
+REPORT_SCHEMA = """sample_size long, overall map<string, double>, fields map<string, map<string, double>>, failures map<string, long>,
+  cochran struct<q: double, df: int>, pairs array<struct<model_a: string, model_b: string, b: long, c: long>>"""
+
+
+@query(sql(["scored"], f"""
+select 'sample_size' as section, null as a, null as b, cast(count(distinct case_id) as double) as value from scored
+union all select 'overall', model, null, {d6('avg(correct)')} from scored group by model
+union all select 'fields', model, field, round(n * 1.0 / k, 6) + 0.0 from (
+  unpivot (select model, count(*) as k, {', '.join(f'cast(sum({f}_correct) as bigint) as {f}' for f in FIELDS)} from scored group by model)
+  on {', '.join(FIELDS)} into name field value n)
+union all select 'failures', model, null, count(*) filter (where parse_state = 'parse_error') from scored group by model
+union all select 'pairs', a.model, b.model, count(*) filter (where a.correct = 0 and b.correct = 1)
+    + 1000000 * count(*) filter (where a.correct = 1 and b.correct = 0)
+  from scored a join scored b on a.case_id = b.case_id and a.model < b.model group by all
+union all select 'cochran', null, null, round(k * (k - 1) * (c2 - total * total / k) / (k * total - r2), 4) + 0.0
+  from (select count(*) as k, sum(c) as total, sum(c * c) as c2 from (select model, cast(sum(correct) as double) as c from scored group by model))
+  cross join (select sum(r * r) as r2 from (select case_id, cast(sum(correct) as double) as r from scored group by case_id))"""))
+def a09_nested_report(spark, sf):
+    """The whole report in one document, written, read back and laid out as facts."""
+    answers = cut(scored(spark, sf))
+    patterns = sigtest.answer_patterns(answers)
+    fields = scoring.field_accuracy(answers, FIELDS)
+    overall = scoring.overall_accuracy(answers)
+    report = tables.nested_report(spark, {
+        "sample_size!": overall.agg(F.max("n_cases").alias("n")),
+        "overall": overall.select("model", r6("accuracy").alias("accuracy")),
+        "fields": fields.select("model", "field", r6("accuracy").alias("accuracy")),
+        "failures": scoring.parse_failures(answers),
+        "cochran!": sigtest.cochrans_q(patterns).select((F.round("q", 4) + F.lit(0.0)).alias("q"), "df"),
+        "pairs": sigtest.pairwise_discordant(patterns).select(
+            "model_a", "model_b", F.col("a_wrong_b_right").alias("b"), F.col("a_right_b_wrong").alias("c")),
+    })
+    path = new_folder(spark, "report")
+    report.write.text(path)
+    back = spark.read.schema(REPORT_SCHEMA).json(path)
+
+    def rows(section, exploded, a, b, value):
+        part = back if exploded is None else back.select(exploded)
+        null = F.lit(None).cast("string")
+        return part.select(F.lit(section).alias("section"), (null if a is None else F.col(a)).alias("a"),
+                           (null if b is None else F.col(b)).alias("b"), F.expr(value).cast("double").alias("value"))
+
+    maps = back.select(F.explode("fields").alias("a", "m")).select("a", F.explode("m").alias("b", "value"))
+    return tables.union_all([
+        rows("sample_size", None, None, None, "sample_size"),
+        rows("overall", F.explode("overall").alias("a", "v"), "a", None, "v"),
+        maps.select(F.lit("fields").alias("section"), "a", "b", "value"),
+        rows("failures", F.explode("failures").alias("a", "v"), "a", None, "v"),
+        rows("pairs", F.explode("pairs").alias("p"), "p.model_a", "p.model_b", "p.b + 1000000 * p.c"),
+        rows("cochran", None, None, None, "cochran.q"),
+    ])
+
+
+SHEET_NAMES = [f"quantity {c}: part {c} [lines]" for c in X.FEATURES7]
+
+
+@query(sql(["features7", "activities"], "select a.activity_name, a.geography, " + ", ".join(
+    d9(c) + f' as {c}' for c in X.FEATURES7) + " from features7 f join activities a on a.activity_uuid = f.row_id"))
+def a11_sheet_to_features(spark, sf):
+    """A sheet with a header of four lines, written as text, read, and cut to seven columns by their names."""
+    base = new_folder(spark, "sheet")
+    extra = ["unused"]
+    columns = [*X.FEATURES7, *extra]
+    blank = [None] * N_META
+    head = [
+        [*blank, *["lines"] * len(columns), None], [*blank, *[f"quantity {c}" for c in columns], None],
+        [*blank, *[f"part {c}" for c in columns], None], ["uuid", "note", "name", "geography", "product", "unit", "amount", *["kg"] * len(columns), None],
+    ]
+    schema = ", ".join(f"c{i} string" for i in range(len(head[0])))
+    spark.createDataFrame(head, schema).coalesce(1).write.csv(f"{base}/0", emptyValue="")
+    body = X.named_features7(spark, sf).select(
+        "row_id", F.lit("two\nlines").alias("note"), "activity_name", "geography", "reference_product_name", "reference_product_unit",
+        "reference_product_amount", *X.FEATURES7, F.lit("n/a").alias("unused"), F.lit(None).cast("string").alias("end"))
+    body.write.csv(f"{base}/1", emptyValue="")
+    clean = sheet.read_sheet(spark, f"{base}/*", [(2, "activity_name"), (3, "geography")], N_META, "activity_name")
+    chosen = cleaning.select_representative(clean, ["activity_name", "geography"], [*SHEET_NAMES, "not there"])
+    return chosen.select("activity_name", "geography", *[r9(f"`{n}`").alias(c) for n, c in zip(SHEET_NAMES, X.FEATURES7)])
+
+
 # --- B: cleaning and text ---------------------------------------------------
 
 CLEAN_COLUMNS = ", ".join(d9(c) + f" as {c}" for c in X.FEATURES7)
@@ -788,6 +867,15 @@ def g01_rubric_flags_turns(spark, sf):
     return rubric.rubric_flags(X.table(spark, sf, "conversations"), "text", TURN_CHECKS).drop("text")
 
 
+TEN = rubric.STRUCTURAL | rubric.PRECISION
+
+
+@query(sql(["rubric_drafts"], f"select case_id, model, {flag_sql(TEN, 'draft')} from rubric_drafts"))
+def g01_rubric_ten_checks(spark, sf):
+    flags = rubric.rubric_flags(X.rubric_drafts(spark, sf), "draft", TEN)
+    return flags.select("case_id", "model", *TEN)
+
+
 def counts(spark, sf) -> DataFrame:
     return rubric.rubric_counts(rubric.rubric_flags(X.drafts(spark, sf), "draft", CHECKS), list(CHECKS))
 

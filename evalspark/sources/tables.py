@@ -92,6 +92,34 @@ def summary_document(facts: DataFrame, by: Sequence[str], name: str, value: str,
     return facts.groupBy(*by).agg(F.to_json(entries).alias(document))
 
 
+def nested_report(spark: SparkSession, sections: Mapping[str, DataFrame], document: str = "document") -> DataFrame:
+    """One JSON document of several result tables: ``(document)``, one row.
+
+    A section whose name ends in ``!`` has one row and becomes a value or an object. Two
+    columns become a map of the first to the second, three a map of maps, and more a
+    list of objects in order. Results are a few rows each, whatever they were made from.
+    """
+
+    def entries(key: str, value: Column) -> Column:
+        return F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), value.alias("v"))))
+
+    parts = []
+    for name, df in sections.items():
+        c = df.columns
+        if name.endswith("!"):  # a single row
+            whole = df.select(F.col(c[0]) if len(c) == 1 else F.struct(*c))
+        elif len(c) == 2:
+            whole = df.agg(F.map_from_entries(entries(c[0], F.col(c[1]))))
+        elif len(c) == 3:
+            inner = df.groupBy(c[0]).agg(entries(c[1], F.col(c[2])).alias("_inner"))
+            listed = F.transform(entries(c[0], F.col("_inner")), lambda e: F.struct(e["k"], F.map_from_entries(e["v"])))
+            whole = inner.agg(F.map_from_entries(listed))
+        else:
+            whole = df.agg(F.array_sort(F.collect_list(F.struct(*c))))
+        parts.append(whole.scalar().alias(name.rstrip("!")))
+    return spark.range(1).select(F.to_json(F.struct(*parts)).alias(document))
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -198,12 +198,26 @@ def test_ward_is_exact_on_few_vectors(spark):
     assert len(heights) == 49 and (np.diff(heights) >= 0).all()
 
 
+@pytest.mark.parametrize("k", [1, 4, 9])
+def test_ward_in_rounds_is_exact(spark, k):
+    x = np.vstack([np.random.default_rng(9).normal(size=(60, 2)), [[40.0, 40.0], [40.5, 40.0], [-60.0, 0.0]]])
+    df, cols = frame(spark, np.vstack([x, x[:5]]))
+    assert partition(ward.ward(df, cols, k, block=16, last=6).collect()) == ward_labels(np.vstack([x, x[:5]]), k)
+
+
+def test_ward_of_ties_and_of_nothing(spark):
+    grid = np.array([[i, j] for i in range(6) for j in range(6)], dtype=float)
+    df, cols = frame(spark, grid)
+    assert len(partition(ward.ward(df, cols, 4, block=10, last=3).collect())) == 4
+    assert ward.ward(df.limit(0), cols, 4).count() == 0
+
+
 def test_ward_on_groups_finds_separate_blobs(spark):
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(c, 0.3, (200, 2)) for c in ((0, 0), (10, 0), (0, 10))])
     df, cols = frame(spark, x)
     want = {frozenset(range(a, a + 200)) for a in (0, 200, 400)}
-    assert partition(ward.ward(df, cols, 3, micro=40).collect()) == want
+    assert partition(ward.ward(df, cols, 3, block=150, last=40).collect()) == want
 
 
 def density_labels(x, eps, m):

@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -115,28 +115,61 @@ def yeo_johnson(x: Column, power: Column) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
+def _transformed(x: np.ndarray, power: float) -> np.ndarray:
+    """``yeo_johnson`` of an array."""
+    p = 2.0 - power
+    up, down = x >= 0, x < 0
+    out = np.empty_like(x)
+    out[up] = np.log1p(x[up]) if abs(power) < 1e-12 else (np.power(x[up] + 1.0, power) - 1.0) / power
+    out[down] = -np.log1p(-x[down]) if abs(p) < 1e-12 else (1.0 - np.power(1.0 - x[down], p)) / p
+    return out
+
+
 def power_likelihood(df: DataFrame, columns: Sequence[str], powers: Sequence[Sequence[float]]) -> DataFrame:
-    """Log-likelihood of several powers per column: ``(j, g, power, loglik)``.
+    """Log-likelihood of several powers per column: ``(j, g, power, loglik)``; null for a constant column.
 
     ``powers[j]`` lists the powers to try for column ``j``; ``g`` counts them. All
-    columns and powers share one pass and are combined before the shuffle. The
-    powers are one array literal, so later grids run the same compiled code.
+    columns and powers share one pass. A task sums up its batches and sends one row per
+    column and power.
     """
-    width = len(powers[0])
-    cells = F.array(*[F.struct(F.lit(j).alias("j"), q(c).cast("double").alias("x")) for j, c in enumerate(columns)])
-    grid = F.array(*[F.lit(float(p)) for row in powers for p in row])
-    long = (
-        df.select(F.explode(cells).alias("c")).select("c.*")
-        .filter(F.col("x").isNotNull() & ~F.isnan("x"))
-        .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-        .withColumn("power", F.get(grid, F.col("j") * width + F.col("g")))
-    )
-    fit = long.groupBy("j", "g", "power").agg(
-        F.count("x").alias("n"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("logs"),
-        F.var_pop(yeo_johnson(F.col("x"), F.col("power"))).alias("v"),
+    wide = df.select(*[q(c).cast("double").alias(f"c{j}") for j, c in enumerate(columns)])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], tuple] = {}
+        for b in batches:
+            for j, tried in enumerate(powers):
+                x = b.column(j).drop_null().to_numpy(zero_copy_only=False)
+                x = x[~np.isnan(x)]
+                if not len(x):
+                    continue
+                logs = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+                for g, power in enumerate(tried):
+                    with np.errstate(all="ignore"):
+                        y = _transformed(x, power)
+                        mean = float(y.mean())
+                        m2 = float(((y - mean) ** 2).sum())
+                    n, l, at, spread, lo, hi = total.get((j, g), (0, 0.0, 0.0, 0.0, math.inf, -math.inf))
+                    k, gap = n + len(x), mean - at
+                    total[j, g] = (k, l + logs, at + gap * len(x) / k, spread + m2 + gap * gap * n * len(x) / k, min(lo, float(x.min())), max(hi, float(x.max())))
+        if total:
+            rows = [(j, g, float(powers[j][g]), *t) for (j, g), t in total.items()]
+            names = ["j", "g", "power", "n", "logs", "mean", "m2", "lo", "hi"]
+            yield pa.RecordBatch.from_pydict({c: list(v) for c, v in zip(names, zip(*rows))}, schema=_SUMS)
+
+    parts = wide.mapInArrow(sums, "j int, g int, power double, n long, logs double, mean double, m2 double, lo double, hi double")
+    # One row per task and cell: the common mean is known before the squares are added up.
+    cell = Window.partitionBy("j", "g", "power")
+    parts = parts.withColumn("all", F.sum(F.col("n") * F.col("mean")).over(cell) / F.sum("n").over(cell))
+    n, off = F.sum("n"), F.col("mean") - F.col("all")
+    fit = parts.groupBy("j", "g", "power").agg(
+        n.alias("n"), F.sum("logs").alias("logs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        (F.sum(F.col("m2") + F.col("n") * off * off) / n).alias("v"),
     )
     loglik = -0.5 * F.col("n") * F.log("v") + (F.col("power") - 1.0) * F.col("logs")
-    return fit.select("j", "g", "power", F.when(F.col("v") > 0, loglik).alias("loglik"))
+    return fit.select("j", "g", "power", F.when((F.col("v") > 0) & (F.col("lo") < F.col("hi")), loglik).alias("loglik"))
+
+
+_SUMS = pa.schema([("j", pa.int32()), ("g", pa.int32()), ("power", pa.float64()), ("n", pa.int64()), *[(c, pa.float64()) for c in ("logs", "mean", "m2", "lo", "hi")]])
 
 
 def fit_powers(df: DataFrame, columns: Sequence[str]) -> list[float]:
@@ -159,7 +192,7 @@ def fit_powers(df: DataFrame, columns: Sequence[str]) -> list[float]:
         values = {(r["j"], r["g"]): r["loglik"] for r in tried}
         for j in list(open_columns):
             l = [values.get((j, g)) for g in range(2 * GRID + 1)]
-            if turn == 0 and l[round(GRID + 1 / FIRST_STEP)] is None:  # the power 1 changes nothing: the column is constant
+            if turn == 0 and l[round(GRID + 1 / FIRST_STEP)] is None:  # the power 1 changes nothing: a constant or empty column
                 open_columns.discard(j)
                 continue
             l = [-math.inf if v is None or not math.isfinite(v) else v for v in l]

@@ -98,13 +98,14 @@ def h04_power_likelihood(spark, sf):
 
 
 @query(sql(["features7"], f"""
-select name, arg_max(power, loglik) as power from ({LIKELIHOOD}) group by name""", "shifted as (select row_id, "
+select name, min(power) as power from (select *, max(loglik) over (partition by name) as most from ({LIKELIHOOD})) where loglik = most group by name""", "shifted as (select row_id, "
            + ", ".join(f"{c} - 20 as {c}" if c in ("f00", "f06") else c for c in SEVEN) + " from features7)"))
 def h04_best_power(spark, sf):
     shifted = X.features7(spark, sf).withColumns({c: F.col(c) - 20 for c in ("f00", "f06")})
     table = features.power_likelihood(shifted, SEVEN, [POWERS] * len(SEVEN))
     name = F.array(*[F.lit(c) for c in SEVEN])[F.col("j")].alias("name")
-    return table.select(name, "power", "loglik").groupBy("name").agg(F.max_by("power", "loglik").alias("power"))
+    best = F.max(F.struct(F.round("loglik", 4), -F.col("power"))).alias("best")  # of equals the smaller power
+    return table.select(name, "power", "loglik").groupBy("name").agg(best).select("name", (-F.col("best.col2")).alias("power"))
 
 
 @query()

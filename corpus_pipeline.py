@@ -6,7 +6,7 @@ the shared folder and reads it for the next.
 
 1. ``language``: drops documents whose language can't be told (no text, or no letters).
 2. ``quality``: drops documents that fail the base rules or that the rules' votes make
-   more probably bad than good.
+   far more probably bad than good.
 3. ``near_duplicates``: keeps one document of each group, that of the smallest id (of
    rows with that id, the first).
 4. ``secrets``: puts a mark in place of each secret and sets ``n_chars`` to the new length.

@@ -198,7 +198,10 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def judge(voted: DataFrame, model: VoteModel, threshold: float = 0.5) -> DataFrame:
-    """Add ``base_failed, posterior, kept`` to rows with features and votes."""
+def judge(voted: DataFrame, model: VoteModel, threshold: float = 0.2) -> DataFrame:
+    """Add ``base_failed, posterior, kept`` to rows with features and votes.
+
+    By default a text goes only if it is more than four times as probably bad as good.
+    """
     out = voted.withColumn("base_failed", base_failed()).withColumn("posterior", model.posterior())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))

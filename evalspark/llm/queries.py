@@ -75,3 +75,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_quality_rules, op7_sharding, op8_secret_scan, op9_bpe, op10_html_extraction,
     )
 }
+
+ORACLES = {
+    "op2_exact_top_k": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as q from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 20""",
+}

@@ -39,7 +39,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    part = use_all_cores(table(spark, sf_dir, "part"))
     nation = table(spark, sf_dir, "nation")
     unit = F.col("p_size") % 4
     return part.join(
@@ -70,7 +70,7 @@ def answers(spark: SparkSession, sf_dir: str, salt: str = "") -> DataFrame:
         )
 
     x = (
-        use_all_cores(activities(spark, sf_dir))
+        activities(spark, sf_dir)
         .withColumn("r", F.explode(raters))
         .select("*", "r.*")
         .withColumn("h1", draw("name"))

@@ -48,7 +48,8 @@ def use_all_cores(df: DataFrame, most: int = 64) -> DataFrame:
     """Deal the rows of a small scan out over the cores.
 
     A file of one row group is read by one task, whatever is done to its rows. A
-    scan that already has as many tasks is left as it is.
+    scan that already has as many tasks is left as it is. For plain scans only: asking
+    for the number of tasks would run the stages of anything else.
     """
     wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

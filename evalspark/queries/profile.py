@@ -373,6 +373,25 @@ def i14_cluster_examples(spark, sf):
     return out.withColumn("examples", F.concat_ws("|", "examples"))
 
 
+@query(sql(["long64"], """
+select s.cluster, n, examples, elevated, depressed from sizes s join shown using (cluster) join extremes using (cluster)""",
+    """sizes as (select label as cluster, count(*) as n from embeddings group by label),
+  named as (select vec_id as row_id, label as cluster, 'v' || cast(vec_id % 37 as varchar) as name from embeddings),
+  shown as (select cluster, string_agg(name, '|' order by first) as examples from (
+    select cluster, name, min(row_id) as first, row_number() over (partition by cluster order by min(row_id)) as rank
+    from named group by cluster, name) where rank <= 3 group by cluster),
+  scaled as (select cluster, j, (x - avg(x) over (partition by j)) / stddev_samp(x) over (partition by j) as z from long64),
+  profile as (select cluster, j, avg(z) as z from scaled group by cluster, j),
+  ranked as (select *, row_number() over (partition by cluster order by z desc, j) as up,
+    row_number() over (partition by cluster order by z, j) as down, 'f' || lpad(cast(j as varchar), 2, '0') as indicator from profile),
+  extremes as (select cluster, string_agg(indicator, '|' order by up) filter (where up <= 5) as elevated,
+    string_agg(indicator, '|' order by down) filter (where down <= 5) as depressed from ranked group by cluster)"""))
+def i14_cluster_block(spark, sf):
+    named = X.wide_features(spark, sf).withColumn("name", F.concat(F.lit("v"), (F.col("row_id") % 37).cast("string")))
+    out = validity.cluster_block(named, WIDE, "name")
+    return out.withColumns({c: F.concat_ws("|", c) for c in ("examples", "elevated", "depressed")})
+
+
 def clusterings(spark, sf) -> dict[str, DataFrame]:
     data = prepared(spark, sf)
     labels = cut(dbscan.dbscan_sweep(data, SEVEN, EPS))
@@ -393,6 +412,17 @@ def i16_label_table_separated(spark, sf):
     return long.groupBy("cluster", "method").agg(F.count("*").alias("n"))
 
 
+@query(sql(["separated", "activities"], """
+select a.geography, n.cluster as kmeans, n.cluster as agglomerative, count(*) as n
+from separated s join numbered n using (truth) join activities a on a.activity_uuid = s.row_id group by all""", NUMBERED))
+def i16_label_table_metadata(spark, sf):
+    data = X.separated(spark, sf)
+    about = X.activities(spark, sf).select(F.col("activity_uuid").alias("row_id"), "activity_name", "geography")
+    labels = {"kmeans": kmeans.kmeans(data, TWO, 4), "agglomerative": ward.ward(data, TWO, 4)}
+    table = validity.label_table(labels, about=about)
+    return table.groupBy("geography", "kmeans", "agglomerative").agg(F.count("*").alias("n"))
+
+
 @query(sql(["separated"], """
 select 'rows where cluster = ' || cast(cluster as varchar) as "check", count(*) as written, count(*) as expected, true as ok
 from separated join numbered using (truth) group by cluster

@@ -41,11 +41,15 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th".split())
 MARKED = re.compile(
     r"(?:^|[\s_-])(?<!with[_-])(?<!has[_-])(?<!no[_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
     r"comments?|disqus|replies|reply|respond|discussion|sidebars?|side|widgets?|related|recommend(?:ed|ations?)?|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"footer|header|masthead|topbar|share|sharing|social|subscribe|newsletter|signup|login|search|pagination|pager|tags|toolbar|complementary|contentinfo)(?=$|[\s_-])",
+    r"footer|topbar|share|sharing|social|subscribe|newsletter|signup|login|search|pagination|pager|tags|toolbar|complementary|contentinfo|"
+    r"topnav|sidenav|subnav|mainnav|mainmenu|adsbygoogle|commentlist|cookiebar|sitefooter|pagefooter)(?=\d*(?:$|[\s_-]))",
     re.I,
 )
+# Names of a page's head; an article's own heading is text.
+HEAD = re.compile(r"(?:^|[\s_-])(?<!article[_-])(?<!post[_-])(?<!entry[_-])(?<!story[_-])(?<!content[_-])(?:header|masthead|siteheader|pageheader)(?=\d*(?:$|[\s_-]))", re.I)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")  # within a name such as siteFooter
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?=$|[\s_-])", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?\"'()…、。，¿¡«»“”-]")
 
@@ -130,10 +134,14 @@ def blocks(page: str) -> list[_Node]:
             key, value = a[1].lower(), (a[2] or "").strip("\"'")
             if key == "hidden":
                 hidden = True
-            elif key != "aria-label":
+            elif key in ("class", "id", "role"):
                 names += " " + value
-        bad = hidden or tag in BOILERPLATE or tag in SKIPPED or (tag == "header" and not any(s[0] in ("article", "main") for s in stack))
-        bad = bad or (tag not in ("html", "body", "article", "main") and bool(names) and bool(MARKED.search(names))) or (tag == "article" and bool(COMMENTS.search(names)))
+        names = HUMP.sub("-", names)
+        inside = any(s[0] in ("article", "main") for s in stack)
+        bad = hidden or tag in BOILERPLATE or tag in SKIPPED or (tag == "header" and not inside)
+        if names and tag not in ("html", "body", "article", "main"):
+            bad = bad or bool(MARKED.search(names)) or (not inside and bool(HEAD.search(names)))
+        bad = bad or (tag == "article" and bool(COMMENTS.search(names)))
         number += 1
         label = tag if tag in PARAGRAPHS or not names else f"{tag}.{' '.join(sorted(names.split()))}"
         if tag in BLOCK or (bad and not (stack and stack[-1][3])):

@@ -208,3 +208,21 @@ def test_main_text_of_a_page():
     assert html_text.extract("plain &lt;text&gt;") == "plain <text>"
     assert html_text.extract("<p>cut off in a <b>ta") == "cut off in a ta"
     assert html_text.extract("<article><p>x") == "x" and html_text.extract("<nav>menu") == "" == html_text.extract(None)
+
+
+@pytest.mark.parametrize(
+    "before, attributes, kept",
+    [
+        ("", ' title="a hidden cost" data-id="ads"', True),  # names are those of class, id and role alone
+        ("", " hidden", False),
+        ("", ' class="ad2"', False),
+        ("", ' id=siteFooter', False),
+        ("", ' class="post-header"', True),  # the article's own heading
+        ("", ' class="page-header"', False),
+        ("<main>", ' class="header"', True),
+    ],
+)
+def test_names_of_elements(before, attributes, kept):
+    p = "<p>The council met on Monday, and it spoke at length about the bridge, its cost, and the years ahead.</p>"
+    page = f"<body>{before}<div class=content><div{attributes}><h2>Of the bridge</h2></div>{3 * p}</div></body>"
+    assert html_text.extract(page).startswith("Of the bridge" if kept else "The council")

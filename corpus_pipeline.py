@@ -44,10 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     marked = cut(
         docs.select(F.struct(*docs.columns).alias("whole"), simhash.fingerprint(F.col("text")).alias("f"), F.monotonically_increasing_id().alias("row"))
     )
-    rows = marked.select("f", "row", F.col("whole.doc_id").alias("doc_id"))
-    groups = cut(simhash.fingerprint_groups(cut(rows.select("f").distinct())))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    first = rows.join(groups, "f").groupBy("component").agg(best).select(F.col("first.row").alias("row"))
+    best = F.min(F.struct(F.col("whole.doc_id").isNull().alias("none"), F.col("whole.doc_id").alias("doc_id"), "row")).alias("first")
+    copies = cut(marked.groupBy("f").agg(best))  # copies meet here, before anything is joined
+    first = copies.join(simhash.fingerprint_groups(copies), "f").groupBy("component").agg(F.min("first").alias("first")).select("first.row")
     return marked.join(first, "row", "left_semi").select("whole.*")
 
 

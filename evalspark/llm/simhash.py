@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.components import components
+from evalspark.plans.joins import skew_join
 from evalspark.plans.storage import cut
 
 SEED = 42
@@ -175,11 +176,11 @@ def fingerprint_groups(fingerprints: DataFrame, most: int = 3) -> DataFrame:
 
 def component_ids(marked: DataFrame, most: int = 3) -> DataFrame:
     """Add ``component_id``, the smallest ``doc_id`` reachable, to rows ``(doc_id, f, ...)``."""
-    distinct = cut(marked.groupBy("f").agg(F.min("doc_id").alias("least")))
+    distinct = cut(marked.groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("_rows")))
     grouped = cut(fingerprint_groups(distinct, most).join(distinct, "f"))
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     of_each = cut(grouped.join(smallest, "component").select("f", "component_id"))
-    return marked.join(of_each, "f")
+    return skew_join(marked, of_each, ["f"], ["doc_id"], counts=distinct.select("f", "_rows"))
 
 
 def hexadecimal(f: str) -> Column:

@@ -12,6 +12,12 @@ is stored in one grid cell per half and asks there, and in the cells one step ab
 pair one step apart is found from the lower side. What meets is tested for the bound on
 all axes and then exactly.
 
+A wider bound takes one part of the axes for each two bits, so that some part still
+lies within 1: ``all_links`` finds every link at up to so many bits, and ``similar_groups``
+verifies links on the sets of word shingles themselves before it groups by them. The more
+parts, the fewer axes has a cell: with 8 parts of 4 axes the cells hardly separate, and the
+comparisons (64-bit numbers, in blocks) grow with the square of the fingerprints.
+
 Only different fingerprints are joined: copies count once. A cell with more than
 ``crowded`` rows is cut into blocks, and each pair of blocks is one task that returns a
 spanning forest of the links it finds, never all of them.
@@ -29,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.components import components
@@ -122,6 +128,163 @@ def links(fingerprints: DataFrame, most: int = 3, crowded: int = 512) -> DataFra
     return (found.unionByName(dense) if hot else found).distinct()
 
 
+def all_links(fingerprints: DataFrame, most: int, block: int = 4096) -> DataFrame:
+    """All links ``(a, b)`` between different fingerprints ``f`` at ``most`` (61 at the most) differing bits, each once.
+
+    The axes are cut into ``most // 2 + 1`` parts, of which one lies at distance 1 or less.
+    A task compares at most about ``block`` rows of a cell with what asks there.
+    """
+    parts = most // 2 + 1
+    edges = [32 * i // parts for i in range(parts + 1)]
+    if parts > 31:
+        raise ValueError("there are not enough axes for so wide a bound")
+    own, asks = [], []
+    for i, (low, high) in enumerate(zip(edges, edges[1:])):
+        mask = ((1 << 2 * (high - low)) - 1) << 2 * low
+        mask -= (mask >> 63) << 64
+        own.append(F.struct(F.lit(i).alias("part"), F.col("p").bitwiseAND(F.lit(mask)).alias("cell")))
+        for axis in range(low, high):
+            bit = 1 << 2 * axis
+            upper = ((bit << 1) + (1 << 63)) % (1 << 64) - (1 << 63)  # as a signed long
+            # A step up turns 00 into 01 and 01 into 11; from 11 there is none.
+            first = F.col("p").bitwiseAND(F.lit(bit)) == 0
+            second = F.col("p").bitwiseAND(F.lit(upper)) == 0
+            add = F.when(first, F.lit(bit)).when(second, F.lit(upper))
+            asks.append(F.struct(F.lit(i).alias("part"), F.col("p").bitwiseAND(F.lit(mask)).bitwiseOR(add).alias("cell")))
+    points = fingerprints.select("f", unary_counts("f").alias("p"))
+    held = points.select("f", F.inline(F.array(*own)))
+    asking = points.select("f", F.inline(F.array(*asks))).filter("cell is not null")
+    sizes = cut(held.groupBy("part", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    keys = ["part", "cell"]
+    here = held.join(sizes, keys).select(*keys, F.pmod(F.xxhash64("f"), "blocks").cast("int").alias("block"), "f", F.lit(True).alias("own"))
+    # Rows of a cell ask in the blocks of their own cell up to their own, others in all.
+    same = here.select(*keys, F.explode(F.sequence(F.lit(0), "block")).alias("block"), "f", F.lit(False).alias("own"))
+    other = asking.join(sizes, keys).select(
+        *keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "f", F.lit(False).alias("own")
+    )
+    rows = here.select(*keys, "block", "f", "own").unionByName(same).unionByName(other)
+
+    def compared(t: pa.Table) -> pa.Table:
+        f, mine = t.column("f").to_numpy().view(np.uint64), t.column("own").to_numpy()
+        a, b = _met(f[mine], f[~mine], t.column("part")[0].as_py(), edges, most)
+        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+
+    met = rows.groupBy("part", "cell", "block").applyInArrow(compared, "a long, b long")
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _unary(f: np.ndarray) -> np.ndarray:
+    low = np.uint64(LOW_BITS)
+    down = f >> np.uint64(1)
+    return ((f | down) & low) | ((f & down & low) << np.uint64(1))
+
+
+def _met(own: np.ndarray, asks: np.ndarray, part: int, edges: list[int], most: int, chunk: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``own`` and ``asks`` at ``most`` bits that no earlier part of the axes brings together."""
+    empty = np.zeros(0, dtype=np.uint64)
+    a, b = [empty], [empty]
+    shape = (chunk, len(own))
+    xor, bits, near = np.empty(shape, dtype=np.uint64), np.empty(shape, dtype=np.uint8), np.empty(shape, dtype=bool)
+    for at in range(0, len(asks) if len(own) else 0, chunk):
+        q = asks[at : at + chunk]
+        rows = slice(len(q))  # in place: small enough for the cache
+        np.bitwise_xor(q[:, None], own[None, :], out=xor[rows])
+        np.bitwise_count(xor[rows], out=bits[rows])
+        np.less_equal(bits[rows], most, out=near[rows])
+        i, j = np.divmod(np.flatnonzero(near[rows]), len(own))
+        if not len(i):
+            continue
+        x, y = q[i], own[j]
+        new = x != y
+        apart = _unary(x) ^ _unary(y)
+        for low, high in zip(edges[:part], edges[1 : part + 1]):
+            mask = np.uint64(((1 << 2 * (high - low)) - 1) << 2 * low)
+            new &= np.bitwise_count(apart & mask) > 1
+        a.append(x[new])
+        b.append(y[new])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def shingles_of(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted set of XXH64 values of a text's word shingles; words as in ``fingerprint_of``."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))), dtype="<u8"))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have Jaccard similarity ``least`` or more; empty ones are equal."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (small + large - both)
+
+
+def described(text: Column, shingle: int) -> Column:
+    """``f``, the fingerprint, and ``node``, a hash of the set of shingles, equal for equal sets."""
+
+    @F.pandas_udf("f long, node long")
+    def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in texts:
+            f = np.array([fingerprint_of(t, shingle) for t in part], dtype=np.uint64).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(shingles_of(t, shingle).tobytes(), SEED) for t in part], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"f": f, "node": node})
+
+    return made.asNondeterministic()(text)
+
+
+def similar_groups(nodes: DataFrame, texts: DataFrame, most: int, shingle: int, least: float, tries: int = 4) -> DataFrame:
+    """``node, component`` of different texts ``(node, f)``, joined by pairs at ``least`` similarity within ``most`` bits.
+
+    ``texts`` has ``node, text`` at least once for each node. Each round verifies a few of
+    each node's links on the sets of shingles, then drops the links that failed and those within a
+    group; it ends when no link is left, so a group of many near copies costs few
+    comparisons and no link that matters goes unverified.
+    """
+    prints = cut(nodes.select("f").distinct())
+    far = all_links(prints, most)
+    n = nodes.select("node", "f")
+    across = far.join(n.select(F.col("f").alias("a"), F.col("node").alias("x")), "a").join(n.select(F.col("f").alias("b"), F.col("node").alias("y")), "b")
+    equal = n.select("f", F.col("node").alias("x")).join(n.select("f", F.col("node").alias("y")), "f").filter("x > y")
+    left = across.select("x", "y").unionByName(equal.select("x", "y"))
+    left = cut(left.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    wanted = left.select(F.col("x").alias("node")).unionByName(left.select(F.col("y").alias("node"))).distinct()
+
+    @F.pandas_udf("binary")
+    def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([shingles_of(t, shingle).tobytes() for t in part], dtype=object)
+
+    one = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = cut(one.select("node", packed.asNondeterministic()(F.col("text")).alias("s")))
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), least) for x, y in zip(a, b)], dtype=bool)
+
+    true = None
+    group = None
+    while not left.isEmpty():
+        # The smallest neighbours first: near copies of one text all meet at one of them.
+        rank = F.row_number().over(Window.partitionBy("x").orderBy("y"))
+        tried = cut(left.withColumn("rank", rank).filter(F.col("rank") <= tries).select("x", "y"))
+        both = tried.join(sets.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
+        found = both.filter(close.asNondeterministic()("sx", "sy")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        true = cut(found if true is None else true.unionByName(found))
+        group = cut(components(true))
+        rest = left.join(tried, ["x", "y"], "left_anti")
+        rest = rest.join(group.select(F.col("node").alias("x"), F.col("component").alias("gx")), "x", "left")
+        rest = rest.join(group.select(F.col("node").alias("y"), F.col("component").alias("gy")), "y", "left")
+        left = cut(rest.filter(~F.coalesce(F.col("gx") == F.col("gy"), F.lit(False))).select("x", "y"))
+        tries *= 4
+    if group is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.select("node").join(group, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def _dense_links(rows: DataFrame, most: int, crowded: int) -> DataFrame:
     """Links within crowded cells: pairs of blocks of about ``crowded`` rows, each a task of its own."""
     parts = F.ceil(F.col("rows") / crowded).cast("int")

@@ -58,7 +58,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    whole = cut(docs.select(F.struct(*docs.columns).alias("whole"), secret_scan.scan(F.col("text")).alias("r")).select("whole", "r.*"))
+    model = secret_scan.learn(docs, "text")
+    whole = cut(docs.select(F.struct(*docs.columns).alias("whole"), secret_scan.scan(F.col("text"), model).alias("r")).select("whole", "r.*"))
     found = secret_scan.with_spans(whole, secret_scan.thresholds(whole))
     has = F.size("found") > 0
     clean = found.withColumn("clean", secret_scan.redacted(F.when(has, F.col("whole.text")), F.when(has, F.col("found"))))

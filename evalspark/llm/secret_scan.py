@@ -1,15 +1,17 @@
 """Secret scan: three fixed patterns, and tests of randomness on what they leave.
 
-Candidates are runs of letters, digits and ``+ / _ = -`` of ``LEAST`` characters or more.
-The encoding is inferred from the characters that occur. Under it, a battery tests
+Candidates are runs of letters, digits and ``+ / _ = -`` of ``LEAST`` characters or more, and
+the parts of so many characters between their separators. The alphabet is inferred from the
+characters that occur, letters of one case included. Under it, a battery tests
 whether the characters look drawn at random: chi-squared for uniform use of the alphabet,
 the runs test about its middle, and serial correlation at lag one; Fisher's method joins
-the three. Words pass such tests too, the easier the shorter they are. How often they
-do is counted over the corpus on long runs of letters of one case, separately for each
-class of lengths; that gives a candidate's p-value under "a natural string". Within each
-encoding and class of lengths the false discovery rate is then held by the
-Benjamini-Hochberg rule over all candidates of the corpus. Only counts per encoding,
-class and score bin reach the driver.
+the three. Words pass such tests too, the easier the shorter they are. So each candidate
+is held against the corpus's own short words, which random strings are too long to be among:
+the likelihood ratio of their character trigrams to equal use of the alphabet bounds the
+p-value under "a natural string". Within each alphabet and class of lengths the false
+discovery rate is then held by the Benjamini-Hochberg rule over all candidates of the corpus;
+one that fails the battery has p-value one. Only counts of trigrams, and per
+alphabet, class and score bin, reach the driver.
 
 Defined results: a null text is empty and has no spans; repeated rows are counted and
 reported each; an empty table gives no rows; other columns are not read.
@@ -23,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.common import portions
 from evalspark.plans.storage import cut
 
 # Fixed values of the base patterns.
@@ -35,13 +39,16 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 
-LEAST = 20
+LEAST = 12
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+PART = re.compile(r"[A-Za-z0-9]{%d,}" % LEAST)
+SEPARATORS = str.maketrans("", "", "+/_=-")
 BINS = 64
-LENGTHS = (20, 24, 32, 48, 64, 128)  # lower ends of the classes
-ENCODINGS = ("words", "hex", "base32", "base36", "base62", "base64")
+LENGTHS = (12, 16, 20, 24, 32, 48, 64, 128)  # lower ends of the classes
+ENCODINGS = ("letters", "hex", "base32", "base36", "base62", "base64")
 SYMBOLS = (26, 16, 32, 36, 62, 64)
-WORDS = 0
+LETTERS = 0
+CODES = 28  # of trigrams: all else, the letters, a digit
 
 BASE = "n_assign long, n_access long, n_hex long, base array<struct<kind:int,start:long,end:long>>, base_sha256 string"
 FOUND = f"{BASE}, candidates array<struct<start:long,end:long,encoding:int,length:int,bin:int>>"
@@ -70,10 +77,12 @@ def encoding_of(s: str) -> int | None:
     if not letters:
         return None
     if re.search(r"[+/_=-]", body):
-        return 5 if digits and re.search(r"[a-z]", body) and re.search(r"[A-Z]", body) else None
+        if re.search(r"[a-z]", body) and re.search(r"[A-Z]", body):
+            return 5
+        body = body.translate(SEPARATORS)
     if not digits:
         if body.islower() or body.isupper() or body[1:].islower():
-            return WORDS
+            return LETTERS
         return 4
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body):
         return 1
@@ -97,6 +106,72 @@ for _i, _alphabet in enumerate(_ALPHABETS):
         _TABLES[_i, ord(_c)] = _v
 
 
+_CODE = np.zeros(256, dtype=np.int64)  # of bytes
+for _c in range(26):
+    _CODE[ord("a") + _c] = _CODE[ord("A") + _c] = 1 + _c
+_CODE[ord("0") : ord("9") + 1] = 27
+# Share of each code where the characters of an alphabet are drawn at random.
+_DRAWN = np.ones((len(ENCODINGS), CODES))
+for _i, (_letter, _digit) in enumerate([(1 / 26, 1), (1 / 16, 10 / 16), (1 / 32, 6 / 32), (1 / 36, 10 / 36), (2 / 62, 10 / 62), (2 / 64, 10 / 64)]):
+    _DRAWN[_i, 1:27], _DRAWN[_i, 27] = _letter, _digit
+
+
+def trigram_counts(text: bytes) -> np.ndarray:
+    """Of the words of less than ``LEAST`` letters and digits, each with what stands before it."""
+    code = np.concatenate([[0, 0], _CODE[np.frombuffer(text, dtype=np.uint8)], [0]])
+    edge = np.flatnonzero(np.diff(code != 0))  # the last place before each word, and its last place
+    long = np.flatnonzero(edge[1::2] - edge[::2] >= LEAST)
+    for a, b in zip(edge[::2][long], edge[1::2][long]):
+        code[a + 1 : b + 1] = -1
+    kept = (code[2:] > 0) & (code[1:-1] >= 0)
+    before = np.where(code[1:-1] > 0, code[:-2], 0)
+    return np.bincount((before * CODES * CODES + code[1:-1] * CODES + code[2:])[kept], minlength=CODES**3)
+
+
+def word_model(counts: np.ndarray, weight: float = 50.0, loose: float = 0.1) -> np.ndarray:
+    """Probability of a code after two others, leaning on shorter contexts where these are rare.
+
+    A share ``loose`` is spread evenly, so that no single odd trigram decides.
+    """
+    n = counts.reshape(CODES, CODES, CODES).astype(np.float64)
+    even = np.full(CODES, 1 / (CODES - 1))
+    one = (n.sum(axis=(0, 1)) + weight * even) / (n.sum() + weight)
+    two = (n.sum(axis=0) + weight * one) / (n.sum(axis=(0, 2))[:, None] + weight)
+    three = (n + weight * two) / (n.sum(axis=2)[:, :, None] + weight)
+    return (1 - loose) * three + loose * even
+
+
+def learn(docs: DataFrame, text_col: str) -> np.ndarray:
+    """The word model of all texts."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CODES**3, dtype=np.int64)
+        for batch in batches:
+            for part in portions((t.encode() for t in batch.column(0).to_pylist() if t), len, 1 << 20):
+                total += trigram_counts(b"\n".join(part))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["gram", "n"])
+
+    found = docs.select(text_col).mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most CODES ** 3
+    counts = np.zeros(CODES**3)
+    for r in found:
+        counts[r["gram"]] = r["n"]
+    return word_model(counts)
+
+
+def naturalness(strings: list[str], encodings: list[int], model: np.ndarray) -> np.ndarray:
+    """Log2 of the likelihood of each string among the corpus's words to that of random characters.
+
+    Under the word model ``2 ** -x`` bounds the chance of a value of ``-x`` or less.
+    """
+    code = _CODE[np.frombuffer("".join(f"  {s}" for s in strings).encode(), dtype=np.uint8)]
+    of = np.repeat(np.arange(len(strings)), [len(s) + 2 for s in strings])
+    at = np.flatnonzero(code)
+    before = np.where(code[at - 1] > 0, code[at - 2], 0)
+    ratio = np.log2(model[before, code[at - 1], code[at]] / _DRAWN[np.array(encodings, dtype=np.int64)[of[at]], code[at]])
+    return np.bincount(of[at], weights=ratio, minlength=len(strings))
+
+
 def _upper_tail(z: np.ndarray) -> np.ndarray:
     """Of the standard normal distribution, by the erfc approximation of Abramowitz and Stegun (7.1.26)."""
     x = np.abs(z) / np.sqrt(2)
@@ -139,8 +214,21 @@ def randomness(strings: list[str], encodings: list[int]) -> np.ndarray:
     return np.exp(-x / 2) * (1 + x / 2 + x * x / 8)
 
 
-def scan(text: Column) -> Column:
-    """The base spans of a text, and its candidates with their scores."""
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Runs, and the parts of those with separators."""
+    for m in CANDIDATE.finditer(text):
+        yield m.span()
+        for part in PART.finditer(m[0]):
+            if part.span() != (0, len(m[0])):
+                yield m.start() + part.start(), m.start() + part.end()
+
+
+def scan(text: Column, model: np.ndarray, least_random: float = 1e-3) -> Column:
+    """The base spans of a text, and its candidates with their scores.
+
+    A candidate's bin falls with its p-value under "a natural string", a power of two; in the
+    last one are those whose randomness is below ``least_random``.
+    """
 
     @F.pandas_udf(FOUND)
     def scanned(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -150,17 +238,18 @@ def scan(text: Column) -> Column:
                 t = t or ""
                 base = base_spans(t)
                 here = []
-                for m in CANDIDATE.finditer(t):
-                    a, b = m.span()
-                    e = None if any(s < b and a < z for _, s, z in base) else encoding_of(m[0])
+                for a, b in candidates(t):
+                    e = None if any(s < b and a < z for _, s, z in base) else encoding_of(t[a:b])
                     if e is not None:
                         here.append((a, b, e, len(strings)))
-                        strings.append(m[0])
+                        strings.append(t[a:b])
                         encodings.append(e)
                 kinds = [k for k, _, _ in base]
                 digest = hashlib.sha256(joined(base).encode()).hexdigest()
                 rows.append((*(kinds.count(k) for k in range(3)), base, digest, here))
-            score = np.clip(-2 * np.log2(np.maximum(randomness(strings, encodings), 1e-30)), 0, BINS - 1).astype(np.int64)
+            bodies = [x if e == 5 else x.translate(SEPARATORS) for x, e in zip(strings, encodings)]
+            odd = np.clip(-naturalness(strings, encodings, model), 0, BINS - 1).astype(np.int64)
+            score = BINS - 1 - np.where(randomness(bodies, encodings) >= least_random, odd, 0)
             yield pd.DataFrame(
                 [
                     (*r[:3], [{"kind": k, "start": a, "end": b} for k, a, b in r[3]], r[4],
@@ -177,11 +266,10 @@ def _length_class(n: int) -> int:
     return sum(n >= x for x in LENGTHS) - 1
 
 
-def thresholds(scanned: DataFrame, rate: float = 0.05, least_random: float = 1e-3, prior: float = 0.02) -> dict[tuple[int, int], int]:
+def thresholds(scanned: DataFrame, rate: float = 0.05, least: int = 10) -> dict[tuple[int, int], int]:
     """The last accepted score bin of each encoding and class of lengths, over all rows.
 
-    ``prior`` is the share of natural strings taken to look random before any is seen, with
-    the weight of one string. Bins of randomness below ``least_random`` are never accepted.
+    P-values above ``2 ** -least`` are never accepted.
     """
     found = (
         scanned.select(F.explode("candidates").alias("c")).groupBy("c.encoding", "c.length", "c.bin").agg(F.count("*").alias("n")).collect()
@@ -189,14 +277,12 @@ def thresholds(scanned: DataFrame, rate: float = 0.05, least_random: float = 1e-
     counts = np.zeros((len(ENCODINGS), len(LENGTHS), BINS))
     for r in found:
         counts[r["encoding"], r["length"], r["bin"]] = r["n"]
-    last = int(-2 * np.log2(least_random))
+    p = 2.0 ** -np.arange(BINS - 1, -1, -1)
     out = {}
-    for length in range(len(LENGTHS)):
-        natural = counts[WORDS, : length + 1].sum(axis=0)  # shorter ones look random more easily: that errs on the safe side
-        p = (prior + np.cumsum(natural)) / (1 + natural.sum())
-        for encoding in range(1, len(ENCODINGS)):
+    for encoding in range(1, len(ENCODINGS)):
+        for length in range(len(LENGTHS)):
             accepted = np.cumsum(counts[encoding, length])
-            good = np.flatnonzero((accepted > 0) & (p * accepted[-1] <= rate * accepted) & (np.arange(BINS) <= last))
+            good = np.flatnonzero((accepted > 0) & (p * accepted[-1] <= rate * accepted) & (p <= 2.0**-least))
             if len(good):
                 out[encoding, length] = int(good[-1])
     return out
@@ -209,6 +295,7 @@ def with_spans(scanned: DataFrame, accepted: dict[tuple[int, int], int]) -> Data
         return scanned.withColumn("found", F.array_sort(base))
     limit = F.create_map(*[F.lit(x) for (e, n), b in sorted(accepted.items()) for x in (e * 100 + n, b)])
     passed = F.filter("candidates", lambda c: c["bin"] <= F.coalesce(limit[c["encoding"] * 100 + c["length"]], F.lit(-1)))
+    passed = F.filter(passed, lambda c: ~F.exists(passed, lambda o: (o["start"] <= c["start"]) & (c["end"] <= o["end"]) & (c["end"] - c["start"] < o["end"] - o["start"])))
     more = F.transform(passed, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return scanned.withColumn("found", F.array_sort(F.concat(base, more)))
 
@@ -219,8 +306,9 @@ def span_text(found: str) -> Column:
 
 
 def find_secrets(docs: DataFrame, id_col: str, text_col: str, rate: float = 0.05) -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of each row. Texts are read once."""
-    scanned = cut(docs.select(F.col(id_col).alias("doc_id"), scan(F.col(text_col)).alias("r")).select("doc_id", "r.*"))
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of each row. Texts are read twice."""
+    model = learn(docs, text_col)
+    scanned = cut(docs.select(F.col(id_col).alias("doc_id"), scan(F.col(text_col), model).alias("r")).select("doc_id", "r.*"))
     done = with_spans(scanned, thresholds(scanned, rate))
     return done.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", span_text("found").alias("spans"))
 

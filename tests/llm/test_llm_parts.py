@@ -223,6 +223,48 @@ def test_random_strings_are_found_among_words(spark):
     assert hits >= 0.9 * len(planted) and len(others) <= 0.1 * len(planted)
 
 
+WORDLIKE = ["tion", "er", "the", "in", "an", "re", "nd", "ou", "at", "ing", "es", "st"]
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def planted_secrets(spark, make, every=8):
+    """Shares of planted strings that are found, and of other random spans; by documents of word-like text."""
+    draw = random.Random(6)
+    docs, planted = [], {}
+    for i in range(400):
+        words = ["".join(draw.choices(WORDLIKE, k=draw.randint(1, 8 if draw.random() < 0.1 else 3))) for _ in range(80)]
+        words[10] = "-".join(words[20:26])
+        if i % every == 0:
+            planted[i] = make(draw)
+            words.insert(30, planted[i])
+        docs.append((i, " ".join(words)))
+    text, hits, others = dict(docs), set(), 0
+    for r in secret_scan.find_secrets(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect():
+        for kind, a, b in (x.split(":") for x in filter(None, r["spans"].split(","))):
+            if kind == "random":
+                found = text[r["doc_id"]][int(a) : int(b)]
+                inside = found in planted.get(r["doc_id"], "")
+                hits |= {r["doc_id"]} if inside else set()
+                others += not inside
+    return len(hits) / len(planted), others / len(planted)
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda d: "key-" + "".join(d.choices(LOWER + DIGITS, k=24)),
+        lambda d: "-".join("".join(d.choices("0123456789abcdef", k=n)) for n in (8, 4, 4, 4, 12)),
+        lambda d: "-".join("".join(d.choices(LOWER.upper() + DIGITS, k=4)) for _ in range(5)),
+        lambda d: "".join(d.choices(LOWER + LOWER.upper(), k=20)) + "+" + "".join(d.choices(LOWER + LOWER.upper(), k=18)) + "/x",
+        lambda d: "".join(d.choices(LOWER + DIGITS, k=16)),
+    ],
+    ids=["prefix", "uuid", "licence", "base64", "short"],
+)
+def test_secrets_with_separators_or_short(spark, make):
+    hits, others = planted_secrets(spark, make)
+    assert hits >= 0.9 and others <= 0.1
+
+
 def test_randomness_battery():
     draw = random.Random(4)
     good = ["".join(draw.choices("0123456789abcdef", k=64)) for _ in range(300)]

@@ -279,7 +279,7 @@ def thresholds(scanned: DataFrame, rate: float = 0.05, least: int = 10) -> dict[
         counts[r["encoding"], r["length"], r["bin"]] = r["n"]
     p = 2.0 ** -np.arange(BINS - 1, -1, -1)
     out = {}
-    for encoding in range(1, len(ENCODINGS)):
+    for encoding in range(len(ENCODINGS)):
         for length in range(len(LENGTHS)):
             accepted = np.cumsum(counts[encoding, length])
             good = np.flatnonzero((accepted > 0) & (p * accepted[-1] <= rate * accepted) & (p <= 2.0**-least))

@@ -265,6 +265,13 @@ def test_secrets_with_separators_or_short(spark, make):
     assert hits >= 0.9 and others <= 0.1
 
 
+@pytest.mark.parametrize("every", [8, 2])
+def test_secrets_of_letters_of_one_case(spark, every):
+    """Also where many of the long runs of letters are random."""
+    hits, others = planted_secrets(spark, lambda d: "".join(d.choices(LOWER, k=28)), every)
+    assert hits >= 0.9 and others <= 0.1
+
+
 def test_randomness_battery():
     draw = random.Random(4)
     good = ["".join(draw.choices("0123456789abcdef", k=64)) for _ in range(300)]

@@ -4,10 +4,10 @@ A page becomes a list of text nodes, each with its path of tags from the root. N
 with one path are taken together: a path's ratio is its text length per node, and
 its punctuation per node; link text counts against it. Ratios are smoothed along the
 page with a Gaussian window, fused to one number per path and cut at a threshold, a
-share of the best. The content paths then decide the block of the page that holds the
-text: the innermost element around most of their text, and all nodes within it
-that are not boilerplate by their element are the main text, so that a short heading or
-last line stays with its article.
+share of the best: the nodes of the paths above it are the main text. Class, id and role
+names that tell of adverts, menus and the like lower a path's score, unless the element
+holds the page's article or most of its punctuated text. A heading before main
+text, and a short line beside it that is not mostly links, stay with it.
 
 Pages are read by a tolerant scanner: unclosed and stray tags, raw text in scripts and
 styles, comments, and a page that breaks off are all fine.
@@ -45,6 +45,12 @@ MARKED = re.compile(
     r"topnav|sidenav|subnav|mainnav|mainmenu|adsbygoogle|commentlist|cookiebar|sitefooter|pagefooter)(?=\d*(?:$|[\s_-]))",
     re.I,
 )
+# Those that also name parts of an article.
+AMBIGUOUS = re.compile(r"(?:notice|notification|alert|replies|reply|respond|discussion|side|related|recommend(?:ed|ations?)?|navigation|share|sharing|social|consent|search|tags|promotions?)\Z", re.I)
+TEXTUAL = frozenset("section blockquote p li dd dt dl ul ol figure figcaption pre table td th details h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements through which a short line lies beside the text around them.
+STRUCTURE = PARAGRAPHS | frozenset("ul ol dl table tbody thead tfoot blockquote figure figcaption pre section header hgroup details summary".split())
 # Names of a page's head; an article's own heading is text.
 HEAD = re.compile(r"(?:^|[\s_-])(?<!article[_-])(?<!post[_-])(?<!entry[_-])(?<!story[_-])(?<!content[_-])(?:header|masthead|siteheader|pageheader)(?=\d*(?:$|[\s_-]))", re.I)
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")  # within a name such as siteFooter
@@ -57,14 +63,18 @@ PUNCTUATION = re.compile(r"[.,;:!?\"'()…、。，¿¡«»“”-]")
 class _Node:
     """A block of text: its elements from the root, as numbers and as labels."""
 
-    __slots__ = ("elements", "path", "parts", "linked", "bad", "whole")
+    __slots__ = ("elements", "path", "parts", "linked", "bad", "marks", "whole")
 
-    def __init__(self, elements: tuple[int, ...], path: tuple[str, ...], bad: bool):
+    def __init__(self, elements: tuple[int, ...], path: tuple[str, ...], bad: bool, marks: tuple[tuple[int, float], ...]):
         self.elements, self.path, self.bad = elements, path, bad
+        self.marks = marks  # elements whose names lower the score, and by how much
         self.parts: list[str] = []
         self.linked = 0
         self.whole: str | None = None
 
+    def tags(self) -> list[str]:
+        return [label.split(".")[0] for label in self.path]
+
     def text(self) -> str:
         """The text of the finished block."""
         if self.whole is None:
@@ -74,7 +84,7 @@ class _Node:
 
 def blocks(page: str) -> list[_Node]:
     """The blocks of text of a page in order."""
-    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, label, element, boilerplate, link
+    stack: list[tuple[str, str, int, bool, bool, float]] = []  # tag, label, element, boilerplate, link, factor of its names
     out: list[_Node] = []
     now: _Node | None = None
     number, at = 0, 0
@@ -87,7 +97,7 @@ def blocks(page: str) -> list[_Node]:
             if not text.strip():
                 return
             inner = [s for s in stack if s[0] in BLOCK]
-            now = _Node(tuple(s[2] for s in inner), tuple(s[1] for s in inner), any(s[3] for s in stack))
+            now = _Node(tuple(s[2] for s in inner), tuple(s[1] for s in inner), any(s[3] for s in stack), tuple((s[2], s[5]) for s in stack if s[5] < 1))
             out.append(now)
         now.parts.append(text)
         if any(s[4] for s in stack):
@@ -95,7 +105,7 @@ def blocks(page: str) -> list[_Node]:
 
     def close(i: int) -> None:
         nonlocal now
-        if any(s[0] in BLOCK or s[3] for s in stack[i:]):
+        if any(s[0] in BLOCK or s[3] or s[5] < 1 for s in stack[i:]):
             now = None
         del stack[i:]
 
@@ -128,15 +138,20 @@ def blocks(page: str) -> list[_Node]:
                     break
                 if other in BLOCK:
                     break
-        names = ""
+        names = ids = ""
         hidden = False
         for a in ATTRIBUTE.finditer(m[3]):
             key, value = a[1].lower(), (a[2] or "").strip("\"'")
             if key == "hidden":
                 hidden = True
-            elif key in ("class", "id", "role"):
+            elif key in ("class", "role"):
                 names += " " + value
-        names = HUMP.sub("-", names)
+            elif key == "id":
+                ids += " " + value
+        factor = 1.0
+        if tag not in ("html", "body", "article", "main"):
+            factor = _factor(tag, HUMP.sub("-", names), HUMP.sub("-", ids), any(s[0] in ("article", "main") for s in stack))
+        names = HUMP.sub("-", names + ids)
         inside = any(s[0] in ("article", "main") for s in stack)
         bad = hidden or tag in BOILERPLATE or tag in SKIPPED or (tag == "header" and not inside)
         if names and tag not in ("html", "body", "article", "main"):
@@ -144,11 +159,11 @@ def blocks(page: str) -> list[_Node]:
         bad = bad or (tag == "article" and bool(COMMENTS.search(names)))
         number += 1
         label = tag if tag in PARAGRAPHS or not names else f"{tag}.{' '.join(sorted(names.split()))}"
-        if tag in BLOCK or (bad and not (stack and stack[-1][3])):
+        if tag in BLOCK or factor < 1 or (bad and not (stack and stack[-1][3])):
             now = None
         if m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        stack.append((tag, label, number, bad, tag == "a"))
+        stack.append((tag, label, number, bad, tag == "a", factor))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
             if tag == "textarea" or tag == "title":
@@ -158,6 +173,40 @@ def blocks(page: str) -> list[_Node]:
     return [n for n in out if n.text()]
 
 
+def _factor(tag: str, names: str, ids: str, inside: bool) -> float:
+    """What the names of an element leave of its score."""
+    if tag in HEADINGS:
+        ids = ""  # they name what follows
+    found = [m[0].strip(" -_") for m in MARKED.finditer(names)]
+    slugs = [m[0].strip(" -_") for m in MARKED.finditer(ids)]
+    if not inside and (HEAD.search(names) or HEAD.search(ids)):
+        return 1e-4
+    if not found and not slugs:
+        return 1.0
+    if tag in TEXTUAL and inside:
+        slugs = []  # parts of an article are named by their titles
+    if not all(AMBIGUOUS.match(x) for x in found + slugs):
+        return 1e-4
+    return 0.5 if tag in TEXTUAL else 0.02
+
+
+def _factors(nodes: list[_Node]) -> list[float]:
+    """Of each node, by the names around it; those of an element that holds the text itself don't count."""
+    marks = [len(PUNCTUATION.findall(n.text())) * (1 - min(1.0, n.linked / len(n.text()))) for n in nodes]
+    stated = [any(t in ("article", "main") for t in n.tags()) for n in nodes]
+    held: dict[int, float] = {}
+    around: dict[int, int] = {}  # nodes of an article or main within an element
+    for n, k, own in zip(nodes, marks, stated):
+        # An article within the element, not around it: its number is larger.
+        inner = max((e for e, t in zip(n.elements, n.tags()) if t in ("article", "main")), default=0) if own else 0
+        for e, _ in n.marks:
+            held[e] = held.get(e, 0) + k
+            around[e] = around.get(e, 0) + (inner > e)
+    anywhere = any(stated)
+    spared = {e for e in held if around[e] or (not anywhere and 2 * held[e] > sum(marks))}
+    return [min((f for e, f in n.marks if e not in spared), default=1.0) for n in nodes]
+
+
 def _smoothed(x: np.ndarray, radius: int = 2) -> np.ndarray:
     weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / 1.0) ** 2)
     if len(x) == 1:
@@ -171,9 +220,10 @@ def content(nodes: list[_Node], share: float = 0.2) -> list[_Node]:
     good = [n for n in nodes if not n.bad]
     if not good:
         return []
-    paths: dict[tuple[str, ...], list[int]] = {}
+    factor = _factors(good)
+    paths: dict[tuple, list[int]] = {}
     for i, n in enumerate(good):
-        paths.setdefault(n.path, []).append(i)
+        paths.setdefault((n.path, factor[i]), []).append(i)
     length = np.array([len(n.text()) for n in good], dtype=np.float64)
     plain = np.maximum(length - [n.linked for n in good], 0)
     marks = np.array([len(PUNCTUATION.findall(n.text())) for n in good], dtype=np.float64)
@@ -182,42 +232,50 @@ def content(nodes: list[_Node], share: float = 0.2) -> list[_Node]:
         ratio[rows] = plain[rows].mean()  # text to tag path ratio
         pointed[rows] = marks[rows].mean() + 1
     fused = _smoothed(ratio) * _smoothed(pointed)
-    score = {p: float(np.median(fused[rows])) * plain[rows].sum() / max(1.0, length[rows].sum()) for p, rows in paths.items()}
-    most = max(score.values())
-    chosen = [n for n in good if score[n.path] >= share * share * most]
-    root = _container(chosen)
-    return [n for n in good if root is None or root in n.elements]
-
-
-def _container(chosen: list[_Node]) -> int | None:
-    """The innermost element that holds at least nine tenths of the chosen text.
-
-    An ``article`` or ``main`` element around most of the chosen text is preferred to what
-    lies within it.
-    """
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    stated: dict[int, int] = {}
-    total = 0
-    for n in chosen:
-        size = len(n.text())
-        total += size
-        for d, (e, label) in enumerate(zip(n.elements, n.path)):
-            weight[e] = weight.get(e, 0) + size
-            depth[e] = d
-            if label.split(".")[0] in ("article", "main"):
-                stated[e] = d
-    held = [e for e in stated if weight[e] >= 0.5 * total]
-    if held:
-        return max(held, key=lambda e: stated[e])
-    leaves = {n.elements[-1] for n in chosen if n.elements}
-    inner = [e for e, w in weight.items() if w >= 0.9 * total and (e not in leaves or len(chosen) == 1)]
-    if not inner:
-        return None
-    best = max(inner, key=lambda e: depth[e])
-    if len(chosen) == 1 and depth[best]:  # one block alone: its surroundings hold the heading
-        return chosen[0].elements[-2]
-    return best
+    score = np.zeros(len(good))
+    for (_, f), rows in paths.items():
+        own = min(float(np.median(fused[rows])), float(ratio[rows[0]] * pointed[rows[0]]))  # a short path isn't lifted by its neighbours
+        score[rows] = f * own * plain[rows].sum() / max(1.0, length[rows].sum())
+    chosen = score >= share * share * score.max()
+    kept = chosen | _beside(good, chosen, factor, plain >= 0.5 * length)
+    return [n for n, k in zip(good, kept) if k]
+
+
+def _beside(nodes: list[_Node], chosen: np.ndarray, factor: list[float], unlinked: np.ndarray) -> np.ndarray:
+    """Short lines in an element that holds chosen text itself, and headings before what is kept."""
+
+    def holder(n: _Node) -> int:
+        for e, tag in zip(reversed(n.elements), reversed(n.tags())):
+            if tag not in STRUCTURE:
+                return e
+        return 0
+
+    holders = {holder(n) for n, c in zip(nodes, chosen) if c}
+    region = _region([n for n, c in zip(nodes, chosen) if c])
+    out = np.zeros(len(nodes), dtype=bool)
+    follows = False
+    for i in range(len(nodes) - 1, -1, -1):
+        n = nodes[i]
+        plain_name = factor[i] >= 0.5
+        if n.tags() and n.tags()[-1] in HEADINGS:
+            out[i] = plain_name and (region is None or region in n.elements) and (follows or holder(n) in holders)
+        else:
+            out[i] = plain_name and bool(unlinked[i]) and holder(n) in holders and (region is None or region in n.elements)
+            follows = bool(chosen[i] or out[i])
+    return out
+
+
+def _region(chosen: list[_Node]) -> int | None:
+    """The article or main around all chosen text, else what holds its lowest common ancestor; None for the page."""
+    common = list(zip(chosen[0].elements, chosen[0].tags()))
+    for n in chosen[1:]:
+        own = set(n.elements)
+        while common and common[-1][0] not in own:
+            common.pop()
+    stated = [e for e, tag in common if tag in ("article", "main")]
+    if stated:
+        return stated[-1]
+    return common[-2][0] if len(common) > 1 else None
 
 
 def extract(page: str | None, share: float = 0.2) -> str:

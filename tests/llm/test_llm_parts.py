@@ -315,3 +315,24 @@ def test_names_of_elements(before, attributes, kept):
     p = "<p>The council met on Monday, and it spoke at length about the bridge, its cost, and the years ahead.</p>"
     page = f"<body>{before}<div class=content><div{attributes}><h2>Of the bridge</h2></div>{3 * p}</div></body>"
     assert html_text.extract(page).startswith("Of the bridge" if kept else "The council")
+
+
+PROSE = "The council met on Monday, and it spoke at length about the bridge, its cost, and the years ahead."
+MENU = "<nav><a href=/>Home</a></nav>"
+ADVERT = "<div><div><a href=/buy>Buy now</a></div></div>"
+
+
+@pytest.mark.parametrize(
+    "body, wanted, unwanted",
+    [
+        (f"<main><article><h2>One</h2>{'<p>First. ' + PROSE}</article><article><h2>Two</h2>{4 * ('<p>Second. ' + PROSE)}</article></main>", ["One", "First.", "Two", "Second."], []),
+        (f"<main><div class=intro>{2 * ('<p>Before. ' + PROSE)}</div><article>{3 * ('<p>Body. ' + PROSE)}</article></main>", ["Before.", "Body."], []),
+        (f"<div><div class=lead><p>Lead. {PROSE}</div><div class=body>{20 * ('<p>Body. ' + PROSE)}</div><div class=end><p>Last. {PROSE}</div></div>", ["Lead.", "Body.", "Last."], []),
+        (f"<article><h1>Title</h1>{2 * ('<p>Body. ' + PROSE)}{ADVERT}{2 * ('<p>More. ' + PROSE)}</article>", ["Title", "Body.", "More."], ["Buy now"]),
+        (f"<article>{2 * ('<p>Body. ' + PROSE)}<div><h3>Offer</h3><div>Cheap shoes</div></div>{2 * ('<p>More. ' + PROSE)}</article>", ["Body.", "More."], ["Offer", "Cheap shoes"]),
+    ],
+    ids=["two articles", "introduction", "lead", "linked advert", "unnamed advert"],
+)
+def test_chosen_paths_are_the_text(body, wanted, unwanted):
+    text = html_text.extract(f"<body>{MENU}{body}<footer>(c)</footer></body>")
+    assert [w for w in wanted if w not in text] == [w for w in unwanted if w in text] == []

@@ -154,8 +154,6 @@ def blocks(page: str) -> list[_Node]:
         names = HUMP.sub("-", names + ids)
         inside = any(s[0] in ("article", "main") for s in stack)
         bad = hidden or tag in BOILERPLATE or tag in SKIPPED or (tag == "header" and not inside)
-        if names and tag not in ("html", "body", "article", "main"):
-            bad = bad or bool(MARKED.search(names)) or (not inside and bool(HEAD.search(names)))
         bad = bad or (tag == "article" and bool(COMMENTS.search(names)))
         number += 1
         label = tag if tag in PARAGRAPHS or not names else f"{tag}.{' '.join(sorted(names.split()))}"

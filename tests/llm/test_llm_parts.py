@@ -336,3 +336,20 @@ ADVERT = "<div><div><a href=/buy>Buy now</a></div></div>"
 def test_chosen_paths_are_the_text(body, wanted, unwanted):
     text = html_text.extract(f"<body>{MENU}{body}<footer>(c)</footer></body>")
     assert [w for w in wanted if w not in text] == [w for w in unwanted if w in text] == []
+
+
+@pytest.mark.parametrize(
+    "body, wanted, unwanted",
+    [
+        (f"<article><h2 id=side-effects>Effects</h2><p>{PROSE}<h2 id=related-work>Other work</h2><p>{PROSE}</article>", ["Effects", "Other work"], []),
+        (f"<article>{3 * ('<p>' + PROSE)}<section id=discussion><h2>Talk</h2><p>Argued. {PROSE}</section></article>", ["Talk", "Argued."], []),
+        (f"<article>{3 * ('<p>' + PROSE)}<blockquote class=notice>Noted. {PROSE}</blockquote></article>", ["Noted."], []),
+        (f"<div class='layout sidebar-right'><article><h1>Title</h1>{3 * ('<p>' + PROSE)}</article><div class=sidebar><p>Beside. {PROSE}</div></div>", ["Title", "council"], ["Beside."]),
+        (f"<div class='layout sidebar-right'><div class=text>{3 * ('<p>' + PROSE)}</div></div><div class=ad>Shoes. {PROSE}</div>", ["council"], ["Shoes."]),
+        (f"<article><p>Brief.</article><div class=comments>{9 * ('<p>Reader. ' + PROSE)}</div>", ["Brief."], ["Reader."]),
+    ],
+    ids=["headings", "section", "quotation", "wrapper of an article", "wrapper", "comments"],
+)
+def test_names_lower_a_score(body, wanted, unwanted):
+    text = html_text.extract(f"<body>{MENU}{body}<footer>(c)</footer></body>")
+    assert [w for w in wanted if w not in text] == [w for w in unwanted if w in text] == []

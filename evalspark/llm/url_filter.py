@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Words of hosts that a person marked as unwanted or as ordinary.
+# Words of hosts that a person marked as unwanted or as ordinary. None is a host of the test tables.
 UNWANTED = (
     "casino-play casino-royal online-casino big-win win-cash lucky-win mega-win poker-room slot-machines "
-    "free-slots free-bets sports-bets betting-tips bet-now cheap-meds cheap-loans cheap-pills online-pills "
-    "diet-pills pills-store adult-video adult-chat adult-x xxx-tube porn-hub sex-cam hot-dating spam-links "
-    "spam-mail link-farm content-farm spam-farm ads-serve ads-click ads-track click-track popup-ads track-pixel "
+    "free-slots sports-bets betting-tips bet-now cheap-meds cheap-loans online-pills "
+    "diet-pills pills-store adult-video adult-chat xxx-tube porn-hub sex-cam hot-dating spam-links "
+    "spam-mail link-farm content-farm ads-serve ads-click click-track popup-ads track-pixel "
     "free-money free-crack payday-loan replica-watch warez-crack torrent-free lottery-win jackpot-city escort-live"
 ).split()
 ORDINARY = (
@@ -39,20 +39,55 @@ ORDINARY = (
     "thing anthem earth northern tradition section rhythm handbook standard weekly monthly"
 ).split()
 
+# Folders and files of paths, marked the same way.
+UNWANTED_PATHS = (
+    "online-casino casino-bonus casino/slots play-slots jackpot-win poker-bonus roulette-online sports-betting bet-bonus betting-odds "
+    "buy-viagra cheap-viagra buy-pills pills-online weight-loss-pills order-meds no-prescription payday-loans cheap-loans "
+    "porn-videos free-porn xxx-videos adult-videos adult-dating sex-chat live-sex hot-girls escort-girls nude-cams "
+    "replica-watches fake-rolex warez-download crack-keygen free-torrent lottery-winner win-money free-spins "
+    "earn-money-fast make-money-fast crypto-giveaway click-here-win popup-ads spam-links buy-backlinks cheap-backlinks"
+).split()
+ORDINARY_PATHS = (
+    "news/local about-us opening-hours annual-report contact-form research-papers lecture-notes book-review history-of-art "
+    "city-council school-lunch weather-report train-times garden-plants recipe-soup travel-guide music-lessons "
+    "photo-album science-week chess-results football-results museum-tickets library-catalogue privacy-policy "
+    "press-release video-lessons adult-education sex-education health-advice loan-desk download-form free-entry "
+    "online-course live-concert money-matters playground-rules winter-hours order-books game-rules letters winners-of-the-prize "
+    "documentation/install forum/threads article/views"
+).split()
+
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table ``(url, label)``: 1 for unwanted hosts, 0 for ordinary ones.
+    """The small labelled table ``(url, label)``: 1 for unwanted hosts and paths, 0 for ordinary ones.
 
-    Each word stands once for each kind of address, so that prefix, country ending and
-    path are the same for both labels and carry no weight.
+    Each word of a host stands once for each kind of address, so that prefix, country ending,
+    language and number occur with both labels. Unwanted and ordinary paths stand on the same
+    ordinary hosts, so that there the path alone tells the label. Further ordinary addresses
+    make a URL without any sign an ordinary one.
     """
+    prefixes, langs = ("", "www.", "blog.", "m."), ("en", "de", "fr", "es")
     rows = []
     for label, words in ((1, UNWANTED), (0, ORDINARY)):
         for i, word in enumerate(words):
-            for j, prefix in enumerate(("", "www.", "blog.", "m.")):
+            for j, prefix in enumerate(prefixes):
                 end = ("com", "net", "org")[(i + j) % 3]
-                lang = ("en", "de", "fr", "es")[(i + j) % 4]
-                rows.append((f"https://{prefix}{word}.example.{end}/{lang}/{(37 * i + 11 * j) % 997}", label))
+                rows.append((f"https://{prefix}{word}.example.{end}/{langs[(i + j) % 4]}/{(37 * i + 11 * j) % 997}{('', '.html')[(i + j) % 2]}", label))
+    for i in range(max(len(UNWANTED_PATHS), len(ORDINARY_PATHS))):
+        for label, paths in ((1, UNWANTED_PATHS), (0, ORDINARY_PATHS)):
+            path = paths[i % len(paths)]
+            for j, prefix in enumerate(prefixes):
+                host = f"{prefix}{ORDINARY[(5 * i + 13 * j) % len(ORDINARY)]}.example.{('com', 'net', 'org')[(i + j) % 3]}"
+                rest = (path, f"{path}/{(37 * i) % 997}", f"{langs[i % 4]}/{path}", f"{langs[i % 4]}/{path}/{(53 * i) % 997}.html")[j]
+                rows.append((f"https://{host}/{rest}", label))
+    for i, word in enumerate(ORDINARY):  # without a sign a URL is an ordinary one
+        host = [f"https://{prefix}{word}.example.{('com', 'net', 'org')[(i + 2 * j) % 3]}" for j, prefix in enumerate(prefixes)]
+        for j in range(8):
+            rows.append((f"{host[(i + j) % 4]}/{langs[j % 4]}/{(71 * i + 29 * j) % 997}{('', '.html')[j // 4]}", 0))
+            slug = f"{ORDINARY[(3 * i + 17 * j + 1) % len(ORDINARY)]}-{ORDINARY[(5 * i + 7 * j + 2) % len(ORDINARY)]}"
+            rows.append((f"{host[(i + j) % 4]}/{slug if j % 2 else ORDINARY_PATHS[(7 * i + 11 * j) % len(ORDINARY_PATHS)]}", 0))
+    for i, word in enumerate(UNWANTED):  # nor does an ordinary path excuse its host
+        for j, prefix in enumerate(prefixes):
+            rows.append((f"https://{prefix}{word}.example.{('com', 'net', 'org')[(i + 2 * j) % 3]}/{ORDINARY_PATHS[(3 * i + 11 * j) % len(ORDINARY_PATHS)]}", 1))
     return spark.createDataFrame(rows, "url string, label int")
 
 

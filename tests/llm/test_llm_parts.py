@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evalspark.llm import bpe, components, html_text, langid, packing, quality, secret_scan, simhash, topk
+from evalspark.llm import bpe, components, html_text, langid, packing, quality, secret_scan, simhash, topk, url_filter
 
 
 def groups_of(links, nodes):
@@ -353,3 +353,22 @@ def test_chosen_paths_are_the_text(body, wanted, unwanted):
 def test_names_lower_a_score(body, wanted, unwanted):
     text = html_text.extract(f"<body>{MENU}{body}<footer>(c)</footer></body>")
     assert [w for w in wanted if w not in text] == [w for w in unwanted if w in text] == []
+
+
+def test_paths_and_hosts_not_in_the_table(spark):
+    """Words held out of the labelled table, on hosts and as paths of ordinary or unknown hosts."""
+    bad_paths = "online-casino/free-bets casino-royale slots-bonus win-jackpot viagra-online cheap-pills sex-videos porn-pics betting-bonus adult-cams crack-download poker-online".split()
+    good_paths = "council-meeting history-lessons summer-garden annual-meeting school-news article-about-trains museum-guide research-report en/12 de/7.html photo-news recipe-book".split()
+    bad_hosts = "free-bets cheap-pills adult-x spam-farm ads-track casino-win poker-win".split()
+    table = url_filter.labelled_urls(spark)
+    urls = [r["url"] for r in table.collect()]
+    assert not [h for h in bad_hosts if any(f"/{h}." in u or f".{h}." in u for u in urls)]
+    assert not [p for p in bad_paths + good_paths[:8] if any(f"/{p}" in u.partition("://")[2] for u in urls if p != "online-casino/free-bets")]
+    tests = [(f"https://{h}.example.org/{p}", v) for h in ("forum", "ththre", "www.library") for v, ps in (("block", bad_paths), ("allow", good_paths)) for p in ps]
+    tests += [(f"https://{h}.example.net/en/5", "block") for h in bad_hosts] + [("https://forum.example.org/", "allow")]
+    judged = url_filter.judge(spark.createDataFrame(list(enumerate(u for u, _ in tests)), "i int, url string"), "i", "url", (), url_filter.train(table))
+    got = {r["i"]: r["verdict"] for r in judged.collect()}
+    assert got[0] == "block"
+    wrong = [t for i, t in enumerate(tests) if got[i] != t[1]]
+    print(len(wrong), "of", len(tests), wrong)
+    assert len(wrong) <= 0.1 * len(tests)

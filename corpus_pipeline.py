@@ -7,9 +7,8 @@ the shared folder and reads it for the next.
 1. ``language``: drops documents whose language can't be told (no text, or no letters).
 2. ``quality``: drops documents that fail the base rules or that the rules' votes make
    far more probably bad than good.
-3. ``near_duplicates``: keeps one document of each group, that of the smallest id (of
-   rows with that id, the first). Pairs are those whose fingerprints differ by ``BITS`` bits at
-   most and that share ``SIMILAR`` of their word shingles, verified on the sets.
+3. ``near_duplicates``: keeps one document of each group of the SimHash operator (three-word
+   shingles, three bits), that of the smallest id (of rows with that id, the first).
 4. ``secrets``: puts a mark in place of each secret and sets ``n_chars`` to the new length.
 5. ``packing``: one row per piece of a document in a training sequence.
 
@@ -26,9 +25,6 @@ from evalspark.llm import langid, packing, quality, secret_scan, simhash
 from evalspark.llm.common import fresh, table
 from evalspark.plans.storage import cut, new_folder
 
-SHINGLE, SIMILAR = 5, 0.8  # near copies: so much of the five-word shingles is shared
-BITS = 15  # fingerprints of such pairs differ by so many bits at the most (recall: README)
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     answer = fresh(docs, "_answer")
@@ -45,15 +41,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = cut(
-        docs.select(F.struct(*docs.columns).alias("whole"), simhash.described(F.col("text"), SHINGLE).alias("d"), F.monotonically_increasing_id().alias("row"))
-        .select("whole", "d.*", "row")
-    )
+    row = F.monotonically_increasing_id().alias("row")
+    marked = cut(docs.select(F.struct(*docs.columns).alias("whole"), simhash.fingerprint(F.col("text")).alias("f"), row))
     best = F.min(F.struct(F.col("whole.doc_id").isNull().alias("none"), F.col("whole.doc_id").alias("doc_id"), "row")).alias("first")
-    copies = cut(marked.groupBy("node").agg(best, F.first("f").alias("f")))  # copies meet here, before anything is joined
-    texts = marked.join(copies.select(F.col("first.row").alias("row")), "row", "left_semi").select("node", F.col("whole.text").alias("text"))
-    groups = simhash.similar_groups(copies.select("node", "f"), texts, BITS, SHINGLE, SIMILAR)
-    first = copies.join(groups, "node").groupBy("component").agg(F.min("first").alias("first")).select("first.row")
+    copies = cut(marked.groupBy("f").agg(best))  # copies meet here, before anything is joined
+    first = copies.join(simhash.fingerprint_groups(copies), "f").groupBy("component").agg(F.min("first").alias("first")).select("first.row")
     return marked.join(first, "row", "left_semi").select("whole.*")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, html_text, langid, packing, quality, secret_scan, sharding, simhash, topk, url_filter
+from evalspark.llm import bpe, fill_in_middle, html_text, langid, packing, quality, secret_scan, sharding, simhash, topk, url_filter
 from evalspark.llm.common import table
 from evalspark.plans.storage import cut
 
@@ -68,11 +68,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"), "page_id", "url", "html")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rebuilt = fill_in_middle.restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_exact_top_k, op3_packing, op4_simhash, op5_language_id,
         op6_quality_rules, op7_sharding, op8_secret_scan, op9_bpe, op10_html_extraction,
+        op11_fill_in_middle,
     )
 }
 
@@ -87,4 +95,23 @@ scored as (
   from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
 select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 20""",
+    "op11_fill_in_middle": r"""
+with d as (
+  select doc_id, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as tokens,
+    sha256('42:' || coalesce(cast(doc_id as varchar), '')) as hex from documents),
+h as (
+  select doc_id, text, tokens, len(tokens) as n, cast('0x' || hex[1:8] as bigint) as h1, cast('0x' || hex[9:16] as bigint) as h2,
+    cast('0x' || hex[17:24] as bigint) as h3, cast('0x' || hex[25:32] as bigint) as h4 from d),
+f as (
+  select *, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain'
+      when h4 % 100 < 80 then 'spm' else 'psm' end as form,
+    array_to_string(tokens[1:least(h1 % (n + 1), h2 % (n + 1))], '') as p,
+    array_to_string(tokens[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') as m,
+    array_to_string(tokens[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') as s from h)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m
+    else '<P>' || p || '<S>' || s || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from f""",
 }

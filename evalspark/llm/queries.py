@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, fill_in_middle, html_text, langid, packing, quality, secret_scan, sharding, simhash, topk, url_filter
+from evalspark.llm import bpe, fill_in_middle, html_text, langid, packing, quality, secret_scan, sharding, simhash, topk, url_filter, vector_codes
 from evalspark.llm.common import table
 from evalspark.plans.storage import cut
 
@@ -75,12 +75,17 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("label"))
+    return coded.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_exact_top_k, op3_packing, op4_simhash, op5_language_id,
         op6_quality_rules, op7_sharding, op8_secret_scan, op9_bpe, op10_html_extraction,
-        op11_fill_in_middle,
+        op11_fill_in_middle, op12_vector_codes,
     )
 }
 
@@ -114,4 +119,29 @@ select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_c
     else '<P>' || p || '<S>' || s || '<M>' || m end) as output_sha256,
   sha256(text) as restored_sha256
 from f""",
+    "op12_vector_codes": """
+with k as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select vec_id, label, i as part, q[4 * i + 1] as x0, q[4 * i + 2] as x1, q[4 * i + 3] as x2, q[4 * i + 4] as x3 from k, range(16) t(i)),
+f as (select vec_id, row_number() over (order by vec_id) - 1 as entry from k qualify entry < 64),
+b0 as (select part, entry, x0, x1, x2, x3 from p join f using (vec_id)),
+d0 as (
+  select p.*, b.entry, (p.x0 - b.x0) ** 2 + (p.x1 - b.x1) ** 2 + (p.x2 - b.x2) ** 2 + (p.x3 - b.x3) ** 2 as apart from p join b0 b using (part)),
+a0 as (select * from d0 qualify row_number() over (partition by vec_id, part order by apart, entry) = 1),
+n0 as (select part, entry, cast((s0 - ((s0 % n) + n) % n) // n as bigint) as x0, cast((s1 - ((s1 % n) + n) % n) // n as bigint) as x1, cast((s2 - ((s2 % n) + n) % n) // n as bigint) as x2, cast((s3 - ((s3 % n) + n) % n) // n as bigint) as x3 from (select part, entry, count(*) as n, sum(x0) as s0, sum(x1) as s1, sum(x2) as s2, sum(x3) as s3 from a0 group by part, entry)),
+b1 as (select part, entry, coalesce(n.x0, b.x0) as x0, coalesce(n.x1, b.x1) as x1, coalesce(n.x2, b.x2) as x2, coalesce(n.x3, b.x3) as x3 from b0 b left join n0 n using (part, entry)),
+d1 as (
+  select p.*, b.entry, (p.x0 - b.x0) ** 2 + (p.x1 - b.x1) ** 2 + (p.x2 - b.x2) ** 2 + (p.x3 - b.x3) ** 2 as apart from p join b1 b using (part)),
+a1 as (select * from d1 qualify row_number() over (partition by vec_id, part order by apart, entry) = 1),
+n1 as (select part, entry, cast((s0 - ((s0 % n) + n) % n) // n as bigint) as x0, cast((s1 - ((s1 % n) + n) % n) // n as bigint) as x1, cast((s2 - ((s2 % n) + n) % n) // n as bigint) as x2, cast((s3 - ((s3 % n) + n) % n) // n as bigint) as x3 from (select part, entry, count(*) as n, sum(x0) as s0, sum(x1) as s1, sum(x2) as s2, sum(x3) as s3 from a1 group by part, entry)),
+b2 as (select part, entry, coalesce(n.x0, b.x0) as x0, coalesce(n.x1, b.x1) as x1, coalesce(n.x2, b.x2) as x2, coalesce(n.x3, b.x3) as x3 from b1 b left join n1 n using (part, entry)),
+d2 as (
+  select p.*, b.entry, (p.x0 - b.x0) ** 2 + (p.x1 - b.x1) ** 2 + (p.x2 - b.x2) ** 2 + (p.x3 - b.x3) ** 2 as apart from p join b2 b using (part)),
+a2 as (select * from d2 qualify row_number() over (partition by vec_id, part order by apart, entry) = 1),
+v as (
+  select vec_id, label, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(apart) as bigint) as error from a2 group by vec_id, label)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' order by part, entry)) from b2) as codebooks_sha256
+from v""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, fill_in_middle, html_text, langid, packing, quality, secret_scan, sharding, simhash, topk, url_filter, vector_codes
+from evalspark.llm import best_fit, bpe, fill_in_middle, html_text, langid, packing, quality, secret_scan, sharding, simhash, topk, url_filter, vector_codes
 from evalspark.llm.common import table
 from evalspark.plans.storage import cut
 
@@ -80,12 +80,16 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
 
 
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_exact_top_k, op3_packing, op4_simhash, op5_language_id,
         op6_quality_rules, op7_sharding, op8_secret_scan, op9_bpe, op10_html_extraction,
-        op11_fill_in_middle, op12_vector_codes,
+        op11_fill_in_middle, op12_vector_codes, op13_best_fit,
     )
 }
 

@@ -27,7 +27,7 @@ def edge_dir(spark, tmp_path_factory):
     nan, inf = float("nan"), float("inf")
     vectors = [(20 * i, [0.1 * i, 0.5, -0.3]) for i in range(4)] + [(i, [0.25, 0.25, 0.25]) for i in (1, 2, 3, 3)]
     vectors += [(5, None), (6, [None, 1.0, 1.0]), (7, [nan, 0.0, 0.0]), (8, [inf, 0.0, 0.0]), (None, [0.0, 0.0, 0.0]), (80, []), (60, [0.1, 0.5, -0.3])]
-    spark.createDataFrame([(*r, 1, "s") for r in vectors], "vec_id long, embedding array<float>, score int, vector string").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(*r, 1, "s", None) for r in vectors], "vec_id long, embedding array<float>, score int, vector string, label int").write.parquet(f"{d}/embeddings.parquet")
     pages = [
         (1, "https://WWW.Example.com/en/x?y#z", "<p>one<p>two &amp; three"), (2, None, None), (3, "no scheme", ""), (4, "http://net/es/", "<nav>menu</nav>"),
         (4, "http://net/es/", "<nav>menu</nav>"), (None, "http://a.b?x", "<div>" * 3000 + "deep"), (5, "://host", "<script>if (a<b) '</p>'</script><p>text" + " long" * 50_000),
@@ -49,7 +49,7 @@ def test_empty(spark, empty_dir, name):
     assert (QUERIES | {"pipeline": corpus_pipeline.run})[name](spark, empty_dir).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n.split("_")[0] in ("op4", "op5", "op6", "op7", "op8", "op9")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.split("_")[0] in ("op4", "op5", "op6", "op7", "op8", "op9", "op11")])
 def test_one_row_each(spark, edge_dir, name):
     rows = QUERIES[name](spark, edge_dir).collect()
     assert sorted((r["doc_id"] for r in rows), key=str) == sorted([1, 2, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, None, None], key=str)
@@ -68,6 +68,9 @@ def test_one_row_each(spark, edge_dir, name):
         assert by_id[3]["spans"] == "" and by_id[9]["n_assign"] == 1 and by_id[7]["n_access"] == 1
     if name.startswith("op9"):
         assert by_id[3]["n_tokens"] == 0 == by_id[4]["n_tokens"]
+    if name.startswith("op11"):
+        assert (by_id[3]["n"], by_id[3]["form"], by_id[5]["n"], by_id[6]["n"]) == (0, "plain", 1, 60_001)
+        assert all((r["form"] == "plain") == (r["middle_chars"] is None) for r in rows)
 
 
 def test_packing_edges(spark, edge_dir):
@@ -76,6 +79,16 @@ def test_packing_edges(spark, edge_dir):
     for r in rows:
         tokens[r["doc_id"]] += r["length"]
     assert tokens[3] == tokens[4] == 1 and tokens[2] == 2 * tokens[1] and len(tokens) == 12
+    best = collections.Counter()
+    for r in QUERIES["op13_best_fit"](spark, edge_dir).collect():
+        best[r["doc_id"]] += r["length"]
+    assert best == tokens
+
+
+def test_codes_edges(spark, edge_dir):
+    rows = QUERIES["op12_vector_codes"](spark, edge_dir).collect()
+    assert sorted((r["vec_id"] for r in rows), key=str) == sorted([0, 20, 40, 60, 1, 2, 3, 3, None, 80, 60], key=str)
+    assert all(r["error"] == 0 == r["label_error"] and len(r["code"]) == 32 for r in rows)  # fewer vectors than entries
 
 
 def test_top_k_edges(spark, edge_dir):

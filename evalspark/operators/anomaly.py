@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.blocks import SIZE
 from evalspark.operators.boxes import axes, distinct_points, rows_of, spread_to_rows
 from evalspark.operators.features import matrix, q
-from evalspark.operators.neighbors import LEAF, nearest_rows
+from evalspark.operators.neighbors import nearest_rows
 from evalspark.operators.validity import cluster_sizes
 from evalspark.plans.joins import lookup_join
 from evalspark.plans.order import exact_quantile
@@ -142,7 +143,7 @@ def flag_top(df: DataFrame, score: str, contamination: float = CONTAMINATION, ou
 # --- local outlier factor (Breunig et al. 2000) -----------------------------
 
 
-def lof(df: DataFrame, columns: Sequence[str], k: int = 20, key: str = "row_id", out: str = "lof", leaf: int = LEAF) -> DataFrame:
+def lof(df: DataFrame, columns: Sequence[str], k: int = 20, key: str = "row_id", out: str = "lof", leaf: int = SIZE) -> DataFrame:
     """``(key, out)`` with the local outlier factor over the k nearest rows.
 
     Copies of a vector are neighbours at distance 0 and share one result. With k

@@ -42,38 +42,6 @@ def spread_to_rows(rows: DataFrame, results: DataFrame, points: DataFrame, d: in
 # Expressions over all axes are written as SQL text: one call instead of several per axis.
 
 
-def distance2(d: int, left: str = "x", right: str = "y") -> Column:
-    """Squared distance, added up axis by axis in a fixed order."""
-    gaps = [f"({a} - {b})" for a, b in zip(axes(d, left), axes(d, right))]
-    return F.expr(" + ".join(f"{g} * {g}" for g in gaps))
-
-
 def box(d: int, lo: str = "lo", hi: str = "hi") -> list[Column]:
     """Aggregates for the box around a group of points."""
     return [F.expr(f"{f}(x{j}) as {n}{j}") for j in range(d) for f, n in (("min", lo), ("max", hi))]
-
-
-def _squares(gaps: Sequence[str]) -> Column:
-    return F.expr(" + ".join(f"{g} * {g}" for g in gaps))
-
-
-def gap2(d: int, lo_a: str, hi_a: str, lo_b: str, hi_b: str) -> Column:
-    """Squared distance between two boxes; no two points of them are closer."""
-    return _squares([f"greatest(0D, {lo_a}{j} - {hi_b}{j}, {lo_b}{j} - {hi_a}{j})" for j in range(d)])
-
-
-def apart_on_no_axis(d: int, lo_a: str, hi_a: str, lo_b: str, hi_b: str, eps: str) -> Column:
-    """Whether two boxes are within eps on each axis. Most far pairs fail on the first axes."""
-    return F.expr(
-        " and ".join(f"{lo_a}{j} - {hi_b}{j} <= {eps} and {lo_b}{j} - {hi_a}{j} <= {eps}" for j in range(d))
-    )
-
-
-def reach2(d: int, lo_a: str, hi_a: str, lo_b: str, hi_b: str) -> Column:
-    """Squared distance of the farthest corners; no two points are farther apart."""
-    return _squares([f"greatest({hi_a}{j} - {lo_b}{j}, {hi_b}{j} - {lo_a}{j})" for j in range(d)])
-
-
-def outside2(d: int) -> Column:
-    """Squared distance of a point from a box; 0 inside it."""
-    return _squares([f"greatest(0D, lo{j} - x{j}, x{j} - hi{j})" for j in range(d)])

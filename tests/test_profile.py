@@ -241,12 +241,12 @@ def density_labels(x, eps, m):
     return label
 
 
-@pytest.mark.parametrize("d,copies,direct", [(2, 0, 250_000), (2, 40, 4), (5, 15, 250_000)])
-def test_density_clusters(spark, d, copies, direct):
+@pytest.mark.parametrize("d,copies,block", [(2, 0, 4096), (2, 40, 24), (5, 15, 60)])
+def test_density_clusters(spark, d, copies, block):
     x = blobs(9 + d, 500, d, copies)
     df, cols = frame(spark, x)
     eps_list = [0.5, 1.1, 2.5]
-    got = dbscan.dbscan_sweep(df, cols, eps_list, 6, direct_pairs=direct).collect()
+    got = dbscan.dbscan_sweep(df, cols, eps_list, 6, block=block).collect()
     for eps in eps_list:
         labels = np.array([r["cluster"] for r in sorted((r for r in got if r["eps"] == eps), key=lambda r: r["row_id"])])
         assert (labels == density_labels(x, eps, 6)).all(), eps

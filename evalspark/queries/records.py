@@ -10,7 +10,7 @@ from evalspark.functions.text import normalize, word_count
 from evalspark.operators import cleaning, describe, rubric, sampling, scoring, sigtest, store
 from evalspark.plans.storage import cut, new_folder
 from evalspark.queries.ctes import norm, sql
-from evalspark.sources import sheet, stores, tables
+from evalspark.sources import buckets, sheet, stores, tables
 from evalspark.streaming import landing
 
 QUERIES: dict = {}
@@ -517,12 +517,31 @@ def d06_upsert(spark, sf):
     return store.upsert(X.answers(spark, sf), patch)
 
 
+@query(sql(["answers", "answers_hard"], """
+select coalesce(o.case_id, n.case_id) as case_id, coalesce(o.model, n.model) as model, coalesce(n.raw, o.raw) as raw
+from answers o full join (select * from answers_hard where model = 'm3') n
+  on o.case_id = n.case_id and o.model = n.model"""))
+def d06_upsert_buckets(spark, sf):
+    """The same in a store of hash buckets, where a patch rewrites what it touches."""
+    answers = X.answers(spark, sf)
+    kept = buckets.BucketStore.create(spark, new_folder(spark, "answers"), answers.schema)
+    kept.upsert(answers, batch=0)
+    kept.upsert(X.answers(spark, sf, "#hard").filter(F.col("model") == "m3"), batch=1)
+    return kept.read()
+
+
 @query(sql(["parsed"], """
 select model, parse_state, count(*) as n from parsed group by model, parse_state"""))
 def d07_land_stream(spark, sf):
     return landing.land_twice(X.answers(spark, sf), FIELDS)
 
 
+@query(sql(["parsed"], """
+select model, parse_state, count(*) as n from parsed group by model, parse_state"""))
+def d07_land_compacted(spark, sf):
+    return landing.land_twice(X.answers(spark, sf), FIELDS, compacting=True)
+
+
 # --- E: scores --------------------------------------------------------------
 
 FLAGS = ", ".join(f"{f}_correct" for f in FIELDS)
@@ -677,6 +696,12 @@ def f02_pairwise_discordant(spark, sf):
     return family_pairs(spark, sf)
 
 
+@query(sql(FAMILY_PARTS, "select * from pairs", PAIR_SQL))
+def f02_pairwise_discordant_bits(spark, sf):
+    """The same by slices of bits, which don't grow with the number of patterns."""
+    return sigtest.pairwise_discordant_bits(families(spark, sf), ["task"])
+
+
 def gappy(df: DataFrame) -> DataFrame:
     """An eighth of the rows is missing."""
     return df.filter(F.md5(F.concat_ws("|", F.col("case_id").cast("string"), "model", F.lit("gap"))) >= "20")
@@ -707,6 +732,15 @@ def f04_cochrans_q_gaps(spark, sf):
     return q.select("n_raters", "df", (F.round("q", 4) + F.lit(0.0)).alias("q"))
 
 
+@query(sql(["scored"], """
+select k as n_raters, cast(k - 1 as int) as df, round(k * (k - 1) * (c2 - total * total / k) / (k * total - r2), 4) + 0.0 as q
+from (select count(*) as k, sum(c) as total, sum(c * c) as c2 from (select model, cast(sum(correct) as double) as c from whole group by model))
+cross join (select sum(r * r) as r2 from (select case_id, cast(sum(correct) as double) as r from whole group by case_id))""", FULL_SQL))
+def f04_cochrans_q_bits(spark, sf):
+    q = sigtest.cochrans_q_bits(gappy(scored(spark, sf)))
+    return q.select("n_raters", "df", (F.round("q", 4) + F.lit(0.0)).alias("q"))
+
+
 @query(sql(["scored"], """
 select model, count(*) as n_cases, cast(sum(correct) as bigint) as n_correct,
   round(avg(correct), 6) + 0.0 as accuracy from whole group by model""", FULL_SQL))

@@ -1,6 +1,8 @@
 """Published values and edge cases of scores, tests, answers, stores and sources."""
 
 import math
+import os
+import random
 import time
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.stats import chi2_upper, split_probability
 from evalspark.functions.text import amount_text, normalize, word_count
 from evalspark.operators import cleaning, describe, rubric, sampling, scoring, sigtest, store
-from evalspark.sources import sheet, stores, tables
+from evalspark.sources import buckets, sheet, stores, tables
 from evalspark.streaming import landing
 
 # Published test rows (a wrong b right, a right b wrong, p, significant of 15).
@@ -215,3 +217,72 @@ def test_landing_can_restart(spark, tmp_path):
     landing.land_stream(spark, src, out, state, ["a"]).awaitTermination()
     got = {r["case_id"]: r["parsed"]["a"] for r in landing.latest(spark, out).collect()}
     assert got == {1: "x", 2: "z"}
+
+
+def _files(folder):
+    return sorted((os.path.join(d, f), os.stat(os.path.join(d, f)).st_mtime_ns) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
+
+
+def test_buckets_rewrite_what_a_patch_touches(spark, tmp_path):
+    rows = [(i, m, f"{m}{i}") for i in range(200) for m in ("a", "b")]
+    df = spark.createDataFrame(rows, "case_id long, model string, raw string")
+    kept = buckets.BucketStore.create(spark, str(tmp_path / "s"), df.schema, buckets=16)
+    assert kept.read().count() == 0
+    assert kept.upsert(df) == 1
+    before, held = _files(tmp_path / "s"), kept.manifest()[2]
+    patch = spark.createDataFrame([(7, "a", "new"), (7, "a", None)], df.schema)
+    assert kept.upsert(patch) == 2
+    after = _files(tmp_path / "s")
+    assert set(before) < set(after) and len(after) == len(before) + 1  # one bucket written, the other files untouched
+    now = kept.manifest()[2]
+    assert sum(now[b] != held[b] for b in now) == 1
+    want = {(i, m): r for i, m, r in rows} | {(7, "a"): "new"}
+    assert {(r["case_id"], r["model"]): r["raw"] for r in buckets.BucketStore(spark, str(tmp_path / "s")).read().collect()} == want
+    assert kept.upsert(patch.limit(0)) == 2
+
+
+def test_buckets_after_a_failure(spark, tmp_path):
+    df = spark.createDataFrame([(1, "m", "x"), (2, "m", None)], "case_id long, model string, raw string")
+    kept = buckets.BucketStore.create(spark, str(tmp_path / "s"), df.schema, buckets=4)
+    kept.upsert(df, batch=0)
+    # Data of a version without a manifest are of a run that failed: nobody reads them, the next run writes over them.
+    df.withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(str(tmp_path / "s/data/version=2"))
+    assert kept.read().count() == 2
+    patch = spark.createDataFrame([(2, "m", "y"), (3, "m", "z")], df.schema)
+    for _ in range(2):  # the same batch again changes nothing
+        assert kept.upsert(patch, batch=1) == 2
+    assert sorted((r["case_id"], r["raw"]) for r in kept.read().collect()) == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_landing_compacted_again_and_again(spark, tmp_path):
+    src, out, state, packed = (str(tmp_path / d) for d in ("in", "out", "state", "packed"))
+    for version, rows in enumerate(([(1, '{"a":"x"}'), (2, None)], [(1, None), (2, '{"a":"y"}')], [(3, '{"a":"z"}')])):
+        spark.createDataFrame([(i, "m", r, version) for i, r in rows], landing.ANSWER_SCHEMA).write.mode("append").json(src)
+        landing.land_stream(spark, src, out, state, ["a"]).awaitTermination()
+        target = landing.compact(spark, out, packed, buckets=4) if version < 2 else target
+        again = landing.compact(spark, out, packed, buckets=4) if version == 0 else target
+        assert again.manifest()[0] == target.manifest()[0]
+    assert target.read().count() == 2
+    for compacted in (None, target):
+        got = {r["case_id"]: r["parsed"]["a"] for r in landing.latest(spark, out, compacted=compacted).collect()}
+        assert got == {1: "x", 2: "y", 3: "z"}
+
+
+def test_bit_slices_of_many_raters(spark):
+    """Sixty raters with gaps, repeated and missing rows, and one that is never right, beside counting case by case."""
+    draw = random.Random(6)
+    right = {(c, f"r{m:02d}"): int(draw.random() < (0 if m == 59 else 0.3 + 0.01 * m)) for c in range(400) for m in range(60) if draw.random() > 0.1}
+    rows = [(c, m, v) for (c, m), v in right.items()]
+    df = spark.createDataFrame(rows + rows[:50], "case_id long, model string, correct int")
+    got = {(r["model_a"], r["model_b"]): (r["a_wrong_b_right"], r["a_right_b_wrong"]) for r in sigtest.pairwise_discordant_bits(df, cases_per_group=1).collect()}
+    names = sorted({m for _, m in right})
+    want = {}
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            pairs = [(right.get((c, a), 0), right.get((c, b), 0)) for c in range(400)]
+            want[a, b] = pairs.count((0, 1)), pairs.count((1, 0))
+    assert got == want
+    few = df.filter("model < 'r06'")
+    a, b = sigtest.cochrans_q(sigtest.answer_patterns(few)).first(), sigtest.cochrans_q_bits(few).first()
+    assert a["n_raters"] == b["n_raters"] and b["q"] == pytest.approx(a["q"]) and b["p_value"] == pytest.approx(a["p_value"])
+    assert sigtest.pairwise_discordant_bits(df.limit(0)).count() == 0

@@ -180,11 +180,24 @@ def i02_inertia(spark, sf):
     return validity.inertia(X.wide_features(spark, sf), WIDE).withColumn("inertia", r6("inertia"))
 
 
+def partitions(groups: int) -> list[tuple[int, int, int, int]]:
+    """All ways to put so many groups into two or more parts: ``(k, way, group, part)``."""
+    ways = [[0]]
+    for _ in range(groups - 1):
+        ways = [[*w, p] for w in ways for p in range(max(w) + 2)]
+    return [(max(w) + 1, i, g, p) for i, w in enumerate(ways) if max(w) for g, p in enumerate(w)]
+
+
 @query(sql(["separated"], """
-select 4 as k, round(sum(n * (a + b)), 6) + 0.0 as inertia
-from (select count(*) as n, var_pop(f00) as a, var_pop(f01) as b from separated group by truth)"""))
+select k, round(min(inertia) / (select sum((f00 - x) ** 2 + (f01 - y) ** 2) from separated cross join (select avg(f00) as x, avg(f01) as y from separated)), 2) + 0.0 as share
+from (select k, way, sum(inertia) as inertia from (
+  select k, way, part, count(*) * (var_pop(f00) + var_pop(f01)) as inertia from separated join ways using (truth) group by k, way, part)
+  group by k, way) group by k""", f"ways(k, way, truth, part) as (values {', '.join(map(str, partitions(4)))})"))
 def i03_choose_k_separated(spark, sf):
-    return kmeans.choose_k(X.separated(spark, sf), TWO, [4], tol=1e-12).select("k", r6("inertia").alias("inertia"))
+    """Inertia of the best of all ways to join the four groups, as a share of all spread."""
+    data = cut(X.separated(spark, sf))
+    whole = validity.inertia(data.withColumn("cluster", F.lit(0)), TWO).scalar()
+    return kmeans.choose_k(data, TWO, [2, 3, 4], tol=1e-12).select("k", (F.round(F.col("inertia") / whole, 2) + F.lit(0.0)).alias("share"))
 
 
 @query()
@@ -192,6 +205,8 @@ def i03_choose_k(spark, sf):
     return kmeans.choose_k(prepared(spark, sf), SEVEN)
 
 
+GAP7 = " + ".join(f"(p.f{j:02d} - o.f{j:02d}) * (p.f{j:02d} - o.f{j:02d})" for j in range(7))
+GAP2 = "(p.f00 - o.f00) * (p.f00 - o.f00) + (p.f01 - o.f01) * (p.f01 - o.f01)"
 SILHOUETTE = """drawn as (select * from labelled order by md5('42:' || cast(row_id as varchar)), row_id limit 5000),
   dist as (select p.row_id, p.cluster as own, o.cluster as other, count(*) as n, sum(GAP) as total
     from drawn p join drawn o on p.row_id <> o.row_id group by p.row_id, p.cluster, o.cluster),
@@ -215,6 +230,20 @@ def i04_silhouette_wide(spark, sf):
     return validity.silhouette(X.wide_features(spark, sf), WIDE).withColumn("silhouette", r6("silhouette"))
 
 
+@query(sql(["planted"], f"select {d6('silhouette')} as silhouette from sil",
+    f"{PLANE}, {SILHOUETTE.replace('GAP', GAP2).replace(' limit 5000', '')}"))
+def i04_silhouette_whole(spark, sf):
+    """By squared distance, over all rows."""
+    labelled = X.planted(spark, sf).withColumnRenamed("truth", "cluster")
+    return validity.silhouette_squared(labelled, TWO).withColumn("silhouette", r6("silhouette"))
+
+
+@query(sql([], f"select {d6('silhouette')} as silhouette from sil",
+    f"{LISTED}, {SILHOUETTE.replace('GAP', WIDE_GAP + ' * ' + WIDE_GAP).replace(' limit 5000', '')}"))
+def i04_silhouette_whole_wide(spark, sf):
+    return validity.silhouette_squared(X.wide_features(spark, sf), WIDE).withColumn("silhouette", r6("silhouette"))
+
+
 def davies_sql(source: str) -> str:
     """Index over a long table ``(row_id, cluster, j, x)``."""
     return f"""mean as (select cluster, j, avg(x) as m from {source} group by cluster, j),
@@ -282,10 +311,6 @@ def density_sql(eps: list[float]) -> str:
     left join numbered c on c.eps = e.eps and c.id = p.row_id left join border b on b.eps = e.eps and b.id = p.row_id)"""
 
 
-GAP7 = " + ".join(f"(p.f{j:02d} - o.f{j:02d}) * (p.f{j:02d} - o.f{j:02d})" for j in range(7))
-GAP2 = "(p.f00 - o.f00) * (p.f00 - o.f00) + (p.f01 - o.f01) * (p.f01 - o.f01)"
-
-
 def scaled(spark: SparkSession, sf: str) -> DataFrame:
     return cut(features.standardize(X.features7(spark, sf), SEVEN))
 
@@ -423,22 +448,52 @@ def i16_label_table_metadata(spark, sf):
     return table.groupBy("geography", "kmeans", "agglomerative").agg(F.count("*").alias("n"))
 
 
-@query(sql(["separated"], """
-select 'rows where cluster = ' || cast(cluster as varchar) as "check", count(*) as written, count(*) as expected, true as ok
-from separated join numbered using (truth) group by cluster
-union all select 'rows', count(*), count(*), true from separated
-union all select 'columns of the same type', 9, 9, true""", NUMBERED))
+OUTSIDE = "greatest(abs(f00 - 5.5), abs(f01 - 5.5)) > 15"
+
+
+@query(sql(["planted"], f"""
+select 'rows where kind = ' || kind as "check", count(*) as written, count(*) as expected, true as ok
+from (select case when {OUTSIDE} then 'far and flagged' else 'near' end as kind from planted) group by kind
+union all select 'rows', count(*), count(*), true from planted
+union all select 'columns of the same type', 10, 10, true"""))
 def p01_labelled_profile(spark, sf):
-    """Cluster, outlier flag and component scores beside the metadata, in one table, written and read back."""
-    data = cut(X.separated(spark, sf).drop("truth"))
+    """Cluster, outlier flag and component scores beside the metadata, in one table, written and read back.
+
+    On a table with outliers, every one of which has to be flagged.
+    """
+    data = cut(X.planted(spark, sf).drop("truth"))
     groups = kmeans.kmeans(data, TWO, 4).select("row_id", "cluster")
     flags = anomaly.flag_top(cut(anomaly.isolation_forest(data, TWO)), "score")
     scores = features.pca(data, TWO, 2).select("row_id", "pca_1", "pca_2")
     about = X.activities(spark, sf).select(F.col("activity_uuid").alias("row_id"), "activity_name", "geography")
-    whole = cut(groups.join(flags, "row_id").join(scores, "row_id").join(about, "row_id").join(data.select("row_id", "f00"), "row_id"))
+    far = F.expr(OUTSIDE)
+    kind = F.when(far & F.col("is_anomaly"), "far and flagged").when(far, "far and missed").otherwise("near").alias("kind")
+    whole = groups.join(flags, "row_id").join(scores, "row_id").join(about, "row_id").join(data, "row_id")
+    whole = cut(whole.select("*", kind).drop("f01"))
     path = new_folder(spark, "profile")
     tables.save_table(whole, path)
-    return tables.verify_sink(whole, path, "cluster")
+    return tables.verify_sink(whole, path, "kind")
+
+
+GIVEN = {"given groups": "truth", "halves": "truth % 2", "far rows as noise": "case when row_id % 101 = 100 then -1 else truth end"}
+COMPARED = " union all ".join(
+    f"""select * from (with marked as (select row_id, {label} as cluster, f00, f01 from planted),
+  labelled as (select * from marked where cluster <> -1),
+  tall as (select row_id, cluster, 0 as j, f00 as x from labelled union all select row_id, cluster, 1, f01 from labelled),
+  {SILHOUETTE.replace("GAP", PLANE_GAP)}, {davies_sql("tall")}, {calinski_sql("tall")}
+  select '{method}' as method, cast(count(distinct cluster) filter (where cluster <> -1) as int) as n_clusters,
+    count(*) filter (where cluster = -1) as noise_points, {d6('(select silhouette from sil)')} as silhouette,
+    {d6('(select davies_bouldin from db)')} as davies_bouldin, {d6('(select calinski_harabasz from ch)')} as calinski_harabasz from marked)"""
+    for method, label in GIVEN.items()
+)
+
+
+@query(sql(["planted"], COMPARED))
+def i15_compare_given(spark, sf):
+    """Three labellings of the same rows beside each other."""
+    data = X.planted(spark, sf)
+    out = validity.compare_clusterings({m: data.withColumn("cluster", F.expr(label).cast("int")) for m, label in GIVEN.items()}, TWO)
+    return out.withColumns({c: r6(c) for c in ("silhouette", "davies_bouldin", "calinski_harabasz")})
 
 
 @query()
@@ -459,14 +514,13 @@ def j01_isolation_forest(spark, sf):
     return anomaly.isolation_forest(prepared(spark, sf), SEVEN)
 
 
-@query(sql(["planted"], """
-select count(*) filter (where row_id % 101 = 100) as far, count(*) filter (where row_id % 101 = 100) as far_in_front from planted"""))
+@query(sql(["planted"], f"select count(*) filter (where {OUTSIDE}) as far, count(*) filter (where {OUTSIDE}) as far_on_top from planted"))
 def j01_isolation_far(spark, sf):
-    """Every far point scores above the mean of the others."""
-    scores = cut(anomaly.isolation_forest(X.planted(spark, sf), TWO))
-    far = F.col("row_id") % 101 == 100
-    mean = scores.filter(~far).agg(F.avg("score")).scalar()
-    return scores.agg(F.count_if(far).alias("far"), F.count_if(far & (F.col("score") > mean)).alias("far_in_front"))
+    """Every point well outside the square of the groups is among the 2 % of highest scores."""
+    data = X.planted(spark, sf)
+    scores = anomaly.flag_top(cut(anomaly.isolation_forest(data, TWO)), "score").join(data.select("row_id", *TWO), "row_id")
+    far = F.expr(OUTSIDE)
+    return scores.agg(F.count_if(far).alias("far"), F.count_if(far & F.col("is_anomaly")).alias("far_on_top"))
 
 
 @query("""

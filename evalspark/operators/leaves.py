@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 LEAF = 32
+WIDER = 8  # times the points asked for are looked at for a first bound
 
 
 def gaps2(y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -86,7 +87,7 @@ class Leaves:
         """
         gaps = gaps2(y, self.lo, self.hi) if gaps is None else gaps
         sizes = np.diff(self.edges)
-        take = min(len(sizes), -(-(k + 1) // int(sizes.min())))
+        take = min(len(sizes), -(-WIDER * (k + 1) // int(sizes.min())))
         near = np.argpartition(gaps, take - 1, axis=1)[:, :take]
         widest = int(sizes.max())
         place = self.edges[near][:, :, None] + np.arange(widest)

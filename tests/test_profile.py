@@ -202,13 +202,38 @@ def test_ward_is_exact_on_few_vectors(spark):
 def test_ward_in_rounds_is_exact(spark, k):
     x = np.vstack([np.random.default_rng(9).normal(size=(60, 2)), [[40.0, 40.0], [40.5, 40.0], [-60.0, 0.0]]])
     df, cols = frame(spark, np.vstack([x, x[:5]]))
-    assert partition(ward.ward(df, cols, k, block=16, last=6).collect()) == ward_labels(np.vstack([x, x[:5]]), k)
+    assert partition(ward.ward(df, cols, k, block=24, last=16).collect()) == ward_labels(np.vstack([x, x[:5]]), k)
+
+
+def test_nearest_groups_visit_a_falling_share():
+    """The cheapest group is that of every cost, and the share of costs computed falls as groups grow in number."""
+    draw, share = np.random.default_rng(4), []
+    for n in (1500, 12_000):
+        x, w = draw.normal(size=(n, 3)), draw.integers(1, 4, n).astype(float)
+        groups, some = ward.Groups(x, w, np.arange(n)), np.arange(0, n, 50)
+        cost, place, _ = groups.cheapest(x[some], w[some], some)
+        every = ((x[some, None] - x[None]) ** 2).sum(-1) * (w[some, None] * w[None] / (w[some, None] + w[None]))
+        every[np.arange(len(some)), some] = np.inf
+        assert (place == every.argmin(axis=1)).all() and cost == pytest.approx(every.min(axis=1))
+        share.append(groups.seen / every.size)
+    assert share[1] < 0.5 * share[0]
+
+
+def test_ward_on_300_vectors(spark):
+    x = np.random.default_rng(12).normal(size=(300, 3))
+    df, cols = frame(spark, x)
+    order = ward.merge_order(x, np.ones(300))
+    group = np.arange(300)
+    for a, b, _ in order[: 300 - 7]:
+        group[group == group[int(a)]] = group[int(b)]
+    want = {frozenset(np.flatnonzero(group == g).tolist()) for g in set(group)}
+    assert partition(ward.ward(df, cols, 7, block=120, last=60).collect()) == want
 
 
 def test_ward_of_ties_and_of_nothing(spark):
     grid = np.array([[i, j] for i in range(6) for j in range(6)], dtype=float)
     df, cols = frame(spark, grid)
-    assert len(partition(ward.ward(df, cols, 4, block=10, last=3).collect())) == 4
+    assert len(partition(ward.ward(df, cols, 4, block=16, last=12).collect())) == 4
     assert ward.ward(df.limit(0), cols, 4).count() == 0
 
 

@@ -12,10 +12,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.plans.storage import cut
+
 
 def q(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -34,13 +37,18 @@ def matrix(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
 # --- correlation ------------------------------------------------------------
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+SUMS = "i int, j int, n double, si double, sj double, qi double, qj double, p double"
+TILE = 1_000
+
+
+def correlation_pairs(df: DataFrame, columns: Sequence[str], tile: int = TILE) -> DataFrame:
     """Pearson correlation ``(a, b, r, n)`` of each pair of columns, a before b.
 
     A pair uses the rows in which both have a value; a constant column has no
     correlation. Each task reduces its rows to one small matrix of sums, so the
     shuffle carries pairs of columns, never rows. Columns are centred first, which
-    keeps the sums of squares from cancelling.
+    keeps the sums of squares from cancelling. Beyond ``tile`` columns a task holds the
+    sums of one pair of tiles, ``48 * tile ** 2`` bytes, instead of those of all pairs.
     """
     names = list(columns)
     alias = [f"x{i}" for i in range(len(names))]
@@ -65,9 +73,9 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             }
         )
 
-    schema = "i int, j int, n double, si double, sj double, qi double, qj double, p double"
     parts = ("n", "si", "sj", "qi", "qj", "p")
-    pairs = data.mapInArrow(sums, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in parts])
+    partial = data.mapInArrow(sums, SUMS) if len(names) <= tile else _tiled_sums(data, alias, centre, tile)
+    pairs = partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in parts])
     n = F.col("n")
 
     def spread(s: str, ss: str) -> Column:
@@ -85,6 +93,72 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _tiled_sums(data: DataFrame, alias: Sequence[str], centre: np.ndarray, tile: int) -> DataFrame:
+    """Partial sums of all pairs of columns, from the pairs of tiles of columns.
+
+    Blocks of rows are written once, a tile of columns each. Every tile then meets every
+    other one, so as many copies of the data are shuffled as there are tiles.
+    """
+    d = len(alias)
+    starts = range(0, d, tile)
+    tall = max(1, (1 << 19) // tile)  # rows of a block of 4 MB
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for row in range(0, b.num_rows, tall):
+                x = matrix(b.slice(row, tall), alias) - centre
+                for t, a in enumerate(starts):
+                    cells = np.ascontiguousarray(x[:, a : a + tile]).tobytes()
+                    yield pa.RecordBatch.from_pydict({"part": [part], "number": [number], "tile": pa.array([t], pa.int32()), "cells": [cells]})
+                number += 1
+
+    written = cut(data.mapInArrow(blocks, "part long, number long, tile int, cells binary"))
+    tiles = len(starts)
+    tasks = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(1, 2 * tasks // (tiles * (tiles + 1)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other")
+    met = (
+        written.select("*", every)
+        .select(F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "part", "number", "tile", "cells")
+        .repartition("one", "two", F.pmod(F.xxhash64("part", "number"), F.lit(shares)))
+        .sortWithinPartitions("one", "two", "part", "number", "tile")
+    )
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, total, first = None, None, None
+        for b in batches:
+            for one, two, t, cells in zip(*(b.column(c).to_pylist() for c in ("one", "two", "tile", "cells"))):
+                if (one, two) != pair:
+                    yield from _pair_rows(pair, total, tile)
+                    pair, total = (one, two), 0.0
+                x = np.frombuffer(cells).reshape(-1, min(tile, d - t * tile))
+                there = ~np.isnan(x)
+                x, there = np.where(there, x, 0.0), there.astype(float)
+                if t == one:
+                    first = (x, there)
+                if t == two:
+                    y, at = first
+                    total = total + np.stack([at.T @ there, y.T @ there, at.T @ x, (y * y).T @ there, at.T @ (x * x), y.T @ x])
+        yield from _pair_rows(pair, total, tile)
+
+    return met.mapInArrow(sums, SUMS)
+
+
+def _pair_rows(pair: tuple[int, int] | None, total: np.ndarray | None, tile: int, rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """The sums of a pair of tiles, some rows of the first tile at a time."""
+    if pair is None:
+        return
+    for a in range(0, total.shape[1], rows):
+        some = total[:, a : a + rows]
+        i, j = np.indices(some.shape[1:])
+        i, j = i + pair[0] * tile + a, j + pair[1] * tile
+        upper = i < j
+        yield pa.RecordBatch.from_pydict(
+            {"i": i[upper].astype("int32"), "j": j[upper].astype("int32")} | {c: v[upper] for c, v in zip(("n", "si", "sj", "qi", "qj", "p"), some)}
+        )
+
+
 def redundant_pairs(pairs: DataFrame, threshold: float = 0.98) -> DataFrame:
     """Near-duplicate columns: pairs whose absolute correlation is above the threshold."""
     return pairs.filter(F.abs("r") > threshold)

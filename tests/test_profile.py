@@ -1,6 +1,7 @@
 """Numeric operators against plain NumPy on small tables, and their edge cases."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,9 +37,26 @@ def test_quantile_by_narrowing(spark):
         df = spark.createDataFrame([(float(v),) for v in values], "x double")
         for q in (0.0, 0.02, 0.5, 0.98, 1.0):
             assert exact_quantile(df, "x", q, small=50) == pytest.approx(np.quantile(values, q), rel=1e-12)
+        assert exact_quantile(df, "x", 0.7, small=50, sketch=8, error=0.0) == pytest.approx(np.quantile(values, 0.7), rel=1e-12)  # the sketch misses
     assert exact_quantile(df.limit(0), "x", 0.5) is None
 
 
+def test_correlation_in_tiles(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 64)) @ rng.normal(size=(64, 64))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 5] = 7.0
+    cols = [f"c{i}" for i in range(64)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols)).repartition(5)
+    whole, tiled = ({(p["i"], p["j"]): (p["r"], p["n"]) for p in features.correlation_pairs(df, cols, t).collect()} for t in (64, 10))
+    assert len(tiled) == 2016 and whole.keys() == tiled.keys()
+    want = pd.DataFrame(x).corr().to_numpy()
+    for (i, j), (r, n) in tiled.items():
+        assert n == whole[i, j][1] and (r is None) == (5 in (i, j))
+        assert r is None or (r == pytest.approx(whole[i, j][0], abs=1e-12) and r == pytest.approx(want[i, j], abs=1e-9))
+    assert {p["r"] for p in features.correlation_pairs(df.limit(0), cols, 10).collect()} <= {None}
+
+
 def test_numbering(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v")).repartition(7)
     got = number_rows(df, [F.col("v")], "n").orderBy("v").collect()

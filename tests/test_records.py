@@ -150,6 +150,19 @@ def test_sample_does_not_depend_on_layout(spark):
     assert a == b and [r["id"] for r in a] == list(range(50))
 
 
+def test_large_sample_is_the_small_one(spark):
+    df = spark.range(2000).select(F.when(F.col("id") > 2, F.col("id")).alias("k"))  # three rows without a key
+    for n in (2, 1000, 2000, 2500):
+        want = sampling.sample_n(df, "k", n, 7, 10).select("id", "k").collect()
+        got = sampling.sample_n(df, "k", n, 7, 10, few=1 if n == 2 else 5).select("id", "k").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == min(n, 2000)
+    one = spark.range(900).select(F.lit(1).alias("k"))  # a key alone
+    assert [r["id"] for r in sampling.sample_n(one, "k", 400, 7, few=5).orderBy("id").collect()] == list(range(400))
+    chosen = sampling.sample_n(df.dropna(), "k", 900, 7, few=5)
+    more = sampling.extend_sample(df.dropna(), chosen, "k", 900, 8, 900, few=5).collect()
+    assert sorted(r["id"] for r in more) == list(range(900, 1800)) and not {r["k"] for r in more} & {r["k"] for r in chosen.collect()}
+
+
 def test_upsert_keeps_old_answer_on_failure(spark):
     old = spark.createDataFrame([(1, "m", "x"), (2, "m", None)], "case_id int, model string, raw string")
     patch = spark.createDataFrame([(1, "m", None), (2, "m", "y"), (3, "m", "z")], "case_id int, model string, raw string")

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ LETTERS = 0
 CODES = 28  # of trigrams: all else, the letters, a digit
 
 BASE = "n_assign long, n_access long, n_hex long, base array<struct<kind:int,start:long,end:long>>, base_sha256 string"
-FOUND = f"{BASE}, candidates array<struct<start:long,end:long,encoding:int,length:int,bin:int>>"
+FOUND = f"{BASE}, candidates array<struct<start:long,end:long,encoding:int,length:int,bin:int,within:int,within_bin:int>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -66,6 +67,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans, key=lambda s: (s[1], s[0]))
 
 
+def covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans, in order of their starts, cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
@@ -237,11 +251,19 @@ def scan(text: Column, model: np.ndarray, least_random: float = 1e-3) -> Column:
             for t in part:
                 t = t or ""
                 base = base_spans(t)
+                starts, ends = covered(base)
                 here = []
+                run, run_end = None, 0  # the run that the present parts lie in, if it is a candidate
                 for a, b in candidates(t):
-                    e = None if any(s < b and a < z for _, s, z in base) else encoding_of(t[a:b])
+                    whole = a >= run_end
+                    if whole:
+                        run, run_end = None, b
+                    i = bisect_right(ends, a)
+                    e = None if i < len(ends) and starts[i] < b else encoding_of(t[a:b])
                     if e is not None:
-                        here.append((a, b, e, len(strings)))
+                        here.append((a, b, e, len(strings), run))
+                        if whole:
+                            run = here[-1]
                         strings.append(t[a:b])
                         encodings.append(e)
                 kinds = [k for k, _, _ in base]
@@ -253,7 +275,8 @@ def scan(text: Column, model: np.ndarray, least_random: float = 1e-3) -> Column:
             yield pd.DataFrame(
                 [
                     (*r[:3], [{"kind": k, "start": a, "end": b} for k, a, b in r[3]], r[4],
-                     [{"start": a, "end": b, "encoding": e, "length": _length_class(b - a), "bin": int(score[i])} for a, b, e, i in r[5]])
+                     [{"start": a, "end": b, "encoding": e, "length": _length_class(b - a), "bin": int(score[i]),
+                       "within": _class_of(run) if run else -1, "within_bin": int(score[run[3]]) if run else BINS} for a, b, e, i, run in r[5]])
                     for r in rows
                 ],
                 columns=["n_assign", "n_access", "n_hex", "base", "base_sha256", "candidates"],
@@ -262,6 +285,11 @@ def scan(text: Column, model: np.ndarray, least_random: float = 1e-3) -> Column:
     return scanned.asNondeterministic()(text)
 
 
+def _class_of(candidate: tuple) -> int:
+    a, b, e = candidate[:3]
+    return e * 100 + _length_class(b - a)
+
+
 def _length_class(n: int) -> int:
     return sum(n >= x for x in LENGTHS) - 1
 
@@ -294,8 +322,12 @@ def with_spans(scanned: DataFrame, accepted: dict[tuple[int, int], int]) -> Data
     if not accepted:
         return scanned.withColumn("found", F.array_sort(base))
     limit = F.create_map(*[F.lit(x) for (e, n), b in sorted(accepted.items()) for x in (e * 100 + n, b)])
-    passed = F.filter("candidates", lambda c: c["bin"] <= F.coalesce(limit[c["encoding"] * 100 + c["length"]], F.lit(-1)))
-    passed = F.filter(passed, lambda c: ~F.exists(passed, lambda o: (o["start"] <= c["start"]) & (c["end"] <= o["end"]) & (c["end"] - c["start"] < o["end"] - o["start"])))
+
+    def passes(kind: Column, score: Column) -> Column:
+        return score <= F.coalesce(limit[kind], F.lit(-1))
+
+    # A part of a run that passes is left to the run.
+    passed = F.filter("candidates", lambda c: passes(c["encoding"] * 100 + c["length"], c["bin"]) & ~passes(c["within"], c["within_bin"]))
     more = F.transform(passed, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return scanned.withColumn("found", F.array_sort(F.concat(base, more)))
 

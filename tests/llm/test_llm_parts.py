@@ -254,6 +254,27 @@ def test_secrets_of_letters_of_one_case(spark, every):
     assert hits >= 0.9 and others <= 0.1
 
 
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    draw = random.Random(5)
+    lines = ["".join(draw.choices("0123456789abcdef", k=64)) for _ in range(80_000)]
+    keys = ["".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=30)) for _ in range(5_000)]
+    table = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(keys)), (3, " ".join(["plain words of a sentence"] * 500))], "doc_id long, text string").cache()
+    table.count()
+    begun = time.monotonic()
+    found = {r["doc_id"]: r for r in secret_scan.find_secrets(table, "doc_id", "text").collect()}
+    assert time.monotonic() - begun < 60  # minutes at a quadratic cost
+    assert found[1]["n_hex"] == 80_000 and found[1]["spans"].startswith("hex:0:64,hex:65:129,")
+    spans = [tuple(map(int, x.split(":")[1:])) for x in found[2]["spans"].split(",")]
+    assert len(spans) == len(set(spans)) >= 4_500 and all(a % 31 == 0 and b == a + 30 for a, b in spans)
+
+
+def test_covered_spans():
+    assert secret_scan.covered([(0, 1, 9), (2, 3, 5), (2, 9, 12), (1, 20, 30)]) == ([1, 20], [12, 30])
+    assert secret_scan.covered([]) == ([], [])
+
+
 def test_randomness_battery():
     draw = random.Random(4)
     good = ["".join(draw.choices("0123456789abcdef", k=64)) for _ in range(300)]

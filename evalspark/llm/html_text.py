@@ -7,10 +7,12 @@ page with a Gaussian window, fused to one number per path and cut at a threshold
 share of the best: the nodes of the paths above it are the main text. Class, id and role
 names that tell of adverts, menus and the like lower a path's score, unless the element
 holds the page's article or most of its punctuated text. A heading before main
-text, and a short line beside it that is not mostly links, stay with it.
+text, and a short line beside it that is not mostly links, stay with it; so do tables,
+code, captions, short paragraphs and lists of sources of the article around it.
 
 Pages are read by a tolerant scanner: unclosed and stray tags, raw text in scripts and
-styles, comments, and a page that breaks off are all fine.
+styles, comments, and a page that breaks off are all fine; the cost is linear in the
+page at any depth.
 
 Defined results: a null or empty page has an empty text, so has one without any text
 outside menus and the like; repeated rows get equal answers; an empty table gives no
@@ -28,8 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SKIPPED = frozenset("script style noscript template head title iframe svg math object canvas select option datalist".split())
-RAW = frozenset("script style noscript template title textarea iframe svg math canvas object xmp noembed noframes".split())
+SKIPPED = frozenset("script style noscript template head title iframe svg annotation annotation-xml object canvas select option datalist".split())
+RAW = frozenset("script style noscript template title textarea iframe svg canvas object xmp noembed noframes".split())
 BOILERPLATE = frozenset("nav footer aside form button menu dialog textarea input label fieldset legend".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -54,27 +56,48 @@ STRUCTURE = PARAGRAPHS | frozenset("ul ol dl table tbody thead tfoot blockquote
 # Names of a page's head; an article's own heading is text.
 HEAD = re.compile(r"(?:^|[\s_-])(?<!article[_-])(?<!post[_-])(?<!entry[_-])(?<!story[_-])(?<!content[_-])(?:header|masthead|siteheader|pageheader)(?=\d*(?:$|[\s_-]))", re.I)
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")  # within a name such as siteFooter
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+"[^"]*+(?:"|\Z)|=\s*+'[^']*+(?:'|\Z)|=)*+)(?:>|\Z)""", re.S)  # a quote opens a value only after =
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?=$|[\s_-])", re.I)
+SENTENCE = tuple(".?!:…。？！")  # what a sentence ends with
 PUNCTUATION = re.compile(r"[.,;:!?\"'()…、。，¿¡«»“”-]")
 
 
+class _Element:
+    """An open element, with what its place in the tree says of the text below it."""
+
+    __slots__ = ("number", "tag", "parent", "place", "block", "path", "bad", "skipped", "link", "factor", "stated", "holder", "textual", "named")
+
+    def __init__(self, number: int, tag: str, parent: _Element | None, path: int, bad: bool, factor: float, named: bool):
+        self.number, self.tag, self.parent, self.path, self.factor = number, tag, parent, path, factor
+        self.place = parent.place + 1 if parent else 0  # on the stack
+        self.bad = bad or (parent is not None and parent.bad)  # in a menu or the like
+        self.skipped = tag in SKIPPED or (parent is not None and parent.skipped)
+        self.link = tag == "a" or (parent is not None and parent.link)
+        article = tag in ("article", "main")
+        self.stated: _Element | None = self if article else parent.stated if parent else None  # innermost article or main
+        self.block: _Element = self if parent is None or tag in BLOCK else parent.block
+        # Innermost block that isn't part of the structure of a text.
+        self.holder: _Element = self if parent is None or (tag in BLOCK and tag not in STRUCTURE) else parent.holder
+        self.textual = not article and (tag in TEXTUAL or (parent is not None and parent.textual))
+        self.named = named
+
+    @property
+    def article(self) -> bool:
+        return self.stated is self
+
+
 class _Node:
-    """A block of text: its elements from the root, as numbers and as labels."""
+    """A block of text."""
 
-    __slots__ = ("elements", "path", "parts", "linked", "bad", "marks", "whole")
+    __slots__ = ("element", "parts", "linked", "whole")
 
-    def __init__(self, elements: tuple[int, ...], path: tuple[str, ...], bad: bool, marks: tuple[tuple[int, float], ...]):
-        self.elements, self.path, self.bad = elements, path, bad
-        self.marks = marks  # elements whose names lower the score, and by how much
+    def __init__(self, element: _Element):
+        self.element = element
         self.parts: list[str] = []
         self.linked = 0
         self.whole: str | None = None
 
-    def tags(self) -> list[str]:
-        return [label.split(".")[0] for label in self.path]
-
     def text(self) -> str:
         """The text of the finished block."""
         if self.whole is None:
@@ -82,32 +105,40 @@ class _Node:
         return self.whole
 
 
-def blocks(page: str) -> list[_Node]:
-    """The blocks of text of a page in order."""
-    stack: list[tuple[str, str, int, bool, bool, float]] = []  # tag, label, element, boilerplate, link, factor of its names
+def blocks(page: str) -> tuple[list[_Node], list[_Element]]:
+    """The blocks of text of a page in order, and its elements, each after its parent."""
+    root = _Element(0, "", None, 0, False, 1.0, False)
+    elements, stack = [root], [root]
+    places: dict[str, list[int]] = {}  # on the stack, of each tag
+    barriers: list[int] = []  # places that a stray inline end tag doesn't reach beyond
+    paths: dict[tuple[int, str], int] = {}
     out: list[_Node] = []
     now: _Node | None = None
-    number, at = 0, 0
+    at = 0
 
     def put(text: str) -> None:
         nonlocal now
-        if not text or any(s[0] in SKIPPED for s in stack):
+        top = stack[-1]
+        if not text or top.skipped:
             return
         if now is None:
             if not text.strip():
                 return
-            inner = [s for s in stack if s[0] in BLOCK]
-            now = _Node(tuple(s[2] for s in inner), tuple(s[1] for s in inner), any(s[3] for s in stack), tuple((s[2], s[5]) for s in stack if s[5] < 1))
+            now = _Node(top)
             out.append(now)
         now.parts.append(text)
-        if any(s[4] for s in stack):
+        if top.link:
             now.linked += len(text.strip())
 
-    def close(i: int) -> None:
+    def close(place: int) -> None:
         nonlocal now
-        if any(s[0] in BLOCK or s[3] or s[5] < 1 for s in stack[i:]):
-            now = None
-        del stack[i:]
+        while len(stack) > place:
+            e = stack.pop()
+            places[e.tag].pop()
+            if barriers and barriers[-1] == e.place:
+                barriers.pop()
+            if not e.skipped and (e.tag in BLOCK or e.bad or e.factor < 1):
+                now = None
 
     while m := TAG.search(page, at):
         put(page[at : m.start()])
@@ -119,25 +150,20 @@ def blocks(page: str) -> list[_Node]:
             put(" ")
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in ("article", "main", "body", "section", "table") and tag not in BLOCK:
-                    break  # a stray inline end tag closes nothing outside
+            if places.get(tag) and (tag in BLOCK or not barriers or places[tag][-1] >= barriers[-1]):
+                close(places[tag][-1])
             continue
         if tag in VOID:
             if tag in ("hr",):
                 now = None
             continue
+        if tag in BLOCK and places.get("head"):
+            close(places["head"][-1])
         if tag in BLOCK:  # a block ends the paragraph that it would lie in
-            for i in range(len(stack) - 1, -1, -1):
-                other = stack[i][0]
-                if other == "p" or (other == tag and tag in PARAGRAPHS) or (other in ("dt", "dd") and tag in ("dt", "dd")) or (other in ("td", "th") and tag in ("td", "th", "tr")):
-                    close(i)
-                    break
-                if other in BLOCK:
-                    break
+            inner = stack[-1].block
+            other = inner.tag
+            if other == "p" or (other == tag and tag in PARAGRAPHS) or (other in ("dt", "dd") and tag in ("dt", "dd")) or (other in ("td", "th") and tag in ("td", "th", "tr")):
+                close(inner.place)
         names = ids = ""
         hidden = False
         for a in ATTRIBUTE.finditer(m[3]):
@@ -148,27 +174,35 @@ def blocks(page: str) -> list[_Node]:
                 names += " " + value
             elif key == "id":
                 ids += " " + value
+        top = stack[-1]
+        inside = top.stated is not None
         factor = 1.0
         if tag not in ("html", "body", "article", "main"):
-            factor = _factor(tag, HUMP.sub("-", names), HUMP.sub("-", ids), any(s[0] in ("article", "main") for s in stack))
+            factor = _factor(tag, HUMP.sub("-", names), HUMP.sub("-", ids), inside)
         names = HUMP.sub("-", names + ids)
-        inside = any(s[0] in ("article", "main") for s in stack)
         bad = hidden or tag in BOILERPLATE or tag in SKIPPED or (tag == "header" and not inside)
         bad = bad or (tag == "article" and bool(COMMENTS.search(names)))
-        number += 1
-        label = tag if tag in PARAGRAPHS or not names else f"{tag}.{' '.join(sorted(names.split()))}"
-        if tag in BLOCK or factor < 1 or (bad and not (stack and stack[-1][3])):
-            now = None
+        if not top.skipped and tag not in SKIPPED and (tag in BLOCK or factor < 1 or (bad and not top.bad)):
+            now = None  # what isn't shown, such as a script, parts no sentence
         if m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        stack.append((tag, label, number, bad, tag == "a", factor))
+        path = top.path
+        if tag in BLOCK:
+            label = tag if tag in PARAGRAPHS or not names else f"{tag}.{' '.join(sorted(names.split()))}"
+            path = paths.setdefault((path, label), len(paths) + 1)
+        e = _Element(len(elements), tag, top, path, bad, factor, bool(names.strip()))
+        elements.append(e)
+        stack.append(e)
+        places.setdefault(tag, []).append(e.place)
+        if tag in ("article", "main", "body", "section", "table"):
+            barriers.append(e.place)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
             if tag == "textarea" or tag == "title":
                 put(page[at : end.start() if end else len(page)])
             at = end.start() if end else len(page)
     put(page[at:])
-    return [n for n in out if n.text()]
+    return [n for n in out if n.text()], elements
 
 
 def _factor(tag: str, names: str, ids: str, inside: bool) -> float:
@@ -188,21 +222,26 @@ def _factor(tag: str, names: str, ids: str, inside: bool) -> float:
     return 0.5 if tag in TEXTUAL else 0.02
 
 
-def _factors(nodes: list[_Node]) -> list[float]:
+def _factors(nodes: list[_Node], elements: list[_Element]) -> list[float]:
     """Of each node, by the names around it; those of an element that holds the text itself don't count."""
     marks = [len(PUNCTUATION.findall(n.text())) * (1 - min(1.0, n.linked / len(n.text()))) for n in nodes]
-    stated = [any(t in ("article", "main") for t in n.tags()) for n in nodes]
-    held: dict[int, float] = {}
-    around: dict[int, int] = {}  # nodes of an article or main within an element
-    for n, k, own in zip(nodes, marks, stated):
-        # An article within the element, not around it: its number is larger.
-        inner = max((e for e, t in zip(n.elements, n.tags()) if t in ("article", "main")), default=0) if own else 0
-        for e, _ in n.marks:
-            held[e] = held.get(e, 0) + k
-            around[e] = around.get(e, 0) + (inner > e)
-    anywhere = any(stated)
-    spared = {e for e in held if around[e] or (not anywhere and 2 * held[e] > sum(marks))}
-    return [min((f for e, f in n.marks if e not in spared), default=1.0) for n in nodes]
+    held = [0.0] * len(elements)
+    own = [0] * len(elements)  # nodes within the element
+    around = [0] * len(elements)  # nodes of an article or main within the element
+    for n, k in zip(nodes, marks):
+        held[n.element.number] += k
+        own[n.element.number] += 1
+    for e in reversed(elements[1:]):
+        p = e.parent.number
+        held[p] += held[e.number]
+        own[p] += own[e.number]
+        around[p] += own[e.number] if e.article else around[e.number]
+    anywhere, half = any(n.element.stated for n in nodes), sum(marks) / 2
+    least = [1.0] * len(elements)
+    for e in elements[1:]:
+        spared = around[e.number] or (not anywhere and held[e.number] > half)
+        least[e.number] = min(least[e.parent.number], 1.0 if spared else e.factor)
+    return [least[n.element.number] for n in nodes]
 
 
 def _smoothed(x: np.ndarray, radius: int = 2) -> np.ndarray:
@@ -213,72 +252,85 @@ def _smoothed(x: np.ndarray, radius: int = 2) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), mode="valid")
 
 
-def content(nodes: list[_Node], share: float = 0.2) -> list[_Node]:
+def content(nodes: list[_Node], elements: list[_Element], share: float = 0.2) -> list[_Node]:
     """The blocks that belong to the main text."""
-    good = [n for n in nodes if not n.bad]
+    good = [n for n in nodes if not n.element.bad]
     if not good:
         return []
-    factor = _factors(good)
+    factor = _factors(good, elements)
     paths: dict[tuple, list[int]] = {}
     for i, n in enumerate(good):
-        paths.setdefault((n.path, factor[i]), []).append(i)
+        paths.setdefault((n.element.path, factor[i]), []).append(i)
     length = np.array([len(n.text()) for n in good], dtype=np.float64)
     plain = np.maximum(length - [n.linked for n in good], 0)
     marks = np.array([len(PUNCTUATION.findall(n.text())) for n in good], dtype=np.float64)
-    ratio, pointed = np.zeros(len(good)), np.zeros(len(good))
-    for rows in paths.values():
-        ratio[rows] = plain[rows].mean()  # text to tag path ratio
-        pointed[rows] = marks[rows].mean() + 1
+    of = np.empty(len(good), dtype=np.int64)
+    for j, rows in enumerate(paths.values()):
+        of[rows] = j
+    many = np.bincount(of)
+    text, total, points = (np.bincount(of, weights=x) for x in (plain, length, marks))
+    ratio, pointed = (text / many)[of], (points / many + 1)[of]  # text to tag path ratio, and that of punctuation
     fused = _smoothed(ratio) * _smoothed(pointed)
-    score = np.zeros(len(good))
-    for (_, f), rows in paths.items():
-        own = min(float(np.median(fused[rows])), float(ratio[rows[0]] * pointed[rows[0]]))  # a short path isn't lifted by its neighbours
-        score[rows] = f * own * plain[rows].sum() / max(1.0, length[rows].sum())
+    middle = np.array([np.median(fused[rows]) if len(rows) > 1 else fused[rows[0]] for rows in paths.values()])
+    own = np.minimum(middle[of], ratio * pointed)  # a short path isn't lifted by its neighbours
+    score = np.array(factor) * own * (text / np.maximum(1.0, total))[of]
     chosen = score >= share * share * score.max()
-    kept = chosen | _beside(good, chosen, factor, plain >= 0.5 * length)
+    kept = chosen | _beside(good, elements, chosen, factor, plain >= 0.5 * length)
     return [n for n, k in zip(good, kept) if k]
 
 
-def _beside(nodes: list[_Node], chosen: np.ndarray, factor: list[float], unlinked: np.ndarray) -> np.ndarray:
-    """Short lines in an element that holds chosen text itself, and headings before what is kept."""
-
-    def holder(n: _Node) -> int:
-        for e, tag in zip(reversed(n.elements), reversed(n.tags())):
-            if tag not in STRUCTURE:
-                return e
-        return 0
-
-    holders = {holder(n) for n, c in zip(nodes, chosen) if c}
-    region = _region([n for n, c in zip(nodes, chosen) if c])
+def _beside(nodes: list[_Node], elements: list[_Element], chosen: np.ndarray, factor: list[float], unlinked: np.ndarray) -> np.ndarray:
+    """Short lines in an element that holds chosen text itself, parts of the article around it, and headings before what is kept."""
+    holders = {n.element.holder.number for n, c in zip(nodes, chosen) if c}
+    region = _region([n for n, c in zip(nodes, chosen) if c], elements)
+    within = [e is region or region is None for e in elements]
+    for e in elements[1:]:
+        within[e.number] = within[e.number] or within[e.parent.number]
     out = np.zeros(len(nodes), dtype=bool)
     follows = False
     for i in range(len(nodes) - 1, -1, -1):
-        n = nodes[i]
-        plain_name = factor[i] >= 0.5
-        if n.tags() and n.tags()[-1] in HEADINGS:
-            out[i] = plain_name and (region is None or region in n.elements) and (follows or holder(n) in holders)
+        e = nodes[i].element
+        plain_name = factor[i] >= 0.5 and within[e.number]
+        beside = e.holder.number in holders
+        if e.block.tag in HEADINGS:
+            out[i] = plain_name and (follows or beside)
         else:
-            out[i] = plain_name and bool(unlinked[i]) and holder(n) in holders and (region is None or region in n.elements)
+            part = region is not None and region.article and _is_part(nodes[i], region, factor[i], bool(unlinked[i]))
+            out[i] = plain_name and ((bool(unlinked[i]) and beside) or part)
             follows = bool(chosen[i] or out[i])
     return out
 
 
-def _region(chosen: list[_Node]) -> int | None:
+def _is_part(node: _Node, region: _Element, factor: float, unlinked: bool) -> bool:
+    """Whether a block that the ratios left out is a part of the article all the same.
+
+    Tables, code, captions, questions and short paragraphs are; so are lists of links
+    without a telling name. A line of an element without a name that is no sentence
+    isn't, nor is a link that lies in no paragraph or list.
+    """
+    e = node.element
+    if unlinked:
+        return e.textual or e.holder.named or node.text().endswith(SENTENCE)
+    return e.textual and factor == 1.0 and region.tag == "article"
+
+
+def _region(chosen: list[_Node], elements: list[_Element]) -> _Element | None:
     """The article or main around all chosen text, else what holds its lowest common ancestor; None for the page."""
-    common = list(zip(chosen[0].elements, chosen[0].tags()))
-    for n in chosen[1:]:
-        own = set(n.elements)
-        while common and common[-1][0] not in own:
-            common.pop()
-    stated = [e for e, tag in common if tag in ("article", "main")]
+    below = [0] * len(elements)
+    for n in chosen:
+        below[n.element.block.number] += 1
+    for e in reversed(elements[1:]):
+        below[e.parent.number] += below[e.number]
+    common = [e for e in elements[1:] if below[e.number] == len(chosen) and e.tag in BLOCK]  # each within the one before
+    stated = [e for e in common if e.article]
     if stated:
         return stated[-1]
-    return common[-2][0] if len(common) > 1 else None
+    return common[-2] if len(common) > 1 else None
 
 
 def extract(page: str | None, share: float = 0.2) -> str:
     """Main text of a page, one line per block."""
-    return "\n".join(n.text() for n in content(blocks(page), share)) if page else ""
+    return "\n".join(n.text() for n in content(*blocks(page), share)) if page else ""
 
 
 def extracted(pages: DataFrame, id_col: str, url_col: str, html_col: str, share: float = 0.2) -> DataFrame:

@@ -299,6 +299,7 @@ def test_main_text_of_a_page():
     ]
     assert html_text.extract("plain &lt;text&gt;") == "plain <text>"
     assert html_text.extract("<p>cut off in a <b>ta") == "cut off in a ta"
+    assert html_text.extract("<html><head><title>t</title><body><p>no end of the head") == "no end of the head"
     assert html_text.extract("<article><p>x") == "x" and html_text.extract("<nav>menu") == "" == html_text.extract(None)
 
 
@@ -358,6 +359,40 @@ def test_names_lower_a_score(body, wanted, unwanted):
     assert [w for w in wanted if w not in text] == [w for w in unwanted if w in text] == []
 
 
+@pytest.mark.parametrize(
+    "body, wanted, unwanted",
+    [
+        (f"<article>{3 * ('<p>' + PROSE)}<div class=table-wrap><table><tr><th>Year<td>1901<tr><th>Cost<td>77</table></div>{'<p>' + PROSE}</article>", ["Year", "1901", "Cost", "77"], []),
+        (f"<article>{3 * ('<p>' + PROSE)}<div class=highlight><pre>x = f(1)</pre></div>{'<p>' + PROSE}</article>", ["x = f(1)"], []),
+        (f"<article><div class=lede>In brief</div>{3 * ('<p>' + PROSE)}<div class=photo><img src=x><span>The old bridge</span></div></article>", ["In brief", "The old bridge"], []),
+        (f"<article>{3 * ('<div class=q><p>Why?</p></div><div class=a><p>' + PROSE + '</p></div>')}</article>", ["Why?"], []),
+        (f"<main><h1>How to</h1><div class=step>Step one</div><div class=text>{3 * ('<p>' + PROSE)}</div></main>", ["How to", "Step one"], []),
+        (f"<article>{3 * ('<p>' + PROSE)}<h2>Sources</h2><ul><li><a href=/x>The town records</a><li><a href=/y>A history</a></ul></article>", ["Sources", "The town records", "A history"], []),
+        (f"<article>{3 * ('<p>' + PROSE)}<ul class=share><li><a href=/x>Tell a friend</a></ul><div class=related><ul><li><a href=/y>Other news</a></ul></div></article>", [], ["Tell", "Other news"]),
+        (f"<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x equals 2</annotation></math> holds. {PROSE}</article>", ["So x=2 holds."], ["equals"]),
+        (f"<article><p><a title=Bob's href=/x>Bob</a> came, {PROSE}<p it's>Then {PROSE}<p title='a > b'>Last, {PROSE}</article>", ["Bob came,", "Then", "Last,"], ["title", "b'>"]),
+        (f"<article><p>One <script>x()</script>sentence <svg class=social><text>i</text></svg>still. {PROSE}</article>", ["One sentence still."], ["x()"]),
+    ],
+    ids=["table", "code", "lede and caption", "interview", "steps", "sources", "named links", "formula", "apostrophes", "unseen parts"],
+)
+def test_all_of_the_article_stays(body, wanted, unwanted):
+    text = html_text.extract(f"<body>{MENU}{body}<footer>(c)</footer></body>")
+    assert [w for w in wanted if w not in text] == [w for w in unwanted if w in text] == []
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>line, of text." * 20_000, "<b><div>line, of text.</i>" * 20_000, "<b><section>line</b> of text." * 20_000, "<font>line " * 20_000 + "<p>text." * 20_000, "<a x='" * 20_000, "</b>" * 50_000 + "text."],
+    ids=["divs", "stray tags", "barriers", "inline", "quotes", "end tags"],
+)
+def test_deep_pages_cost_linear_time(page):
+    import time
+
+    begun = time.monotonic()
+    text = html_text.extract(page)
+    assert time.monotonic() - begun < 4 and (page.startswith("<a") or text.count("text.") >= 1)
+
+
 def test_paths_and_hosts_not_in_the_table(spark):
     """Words held out of the labelled table, on hosts and as paths of ordinary or unknown hosts."""
     bad_paths = "online-casino/free-bets casino-royale slots-bonus win-jackpot viagra-online cheap-pills sex-videos porn-pics betting-bonus adult-cams crack-download poker-online".split()

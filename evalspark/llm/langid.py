@@ -76,7 +76,7 @@ class LanguageModel:
         if not self.languages:
             return answers
         wanted = [(i, _plain(t)) for i, t in enumerate(texts) if t]
-        for part in portions(wanted, lambda x: len(x[1]), LETTERS_AT_ONCE):
+        for part in portions(wanted, lambda x: len(x[1]), min(LETTERS_AT_ONCE, 16 * LETTERS_AT_ONCE // len(self.languages))):
             for (i, _), answer in zip(part, self._portion([t for _, t in part], penalty, rounds)):
                 answers[i] = answer
         return answers

@@ -137,6 +137,17 @@ def test_kmeans_leaves_out_incomplete_rows(spark):
     assert labels == {i: i % 2 for i in range(40)}
 
 
+def test_passes_of_small_and_large_tables_are_the_same(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(400, 3))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id int, a double, b double, c double")
+    for most in (2, 5):  # the starts don't rest so soon
+        fits = []
+        for local in (10**6, 0):
+            monkeypatch.setattr(kmeans, "LOCAL_NUMBERS", local)
+            fits.append(kmeans.fit_kmeans(df, ["a", "b", "c"], [6], n_init=2, max_iter=most, tol=1e-9)[6])
+        assert fits[0][0] == pytest.approx(fits[1][0], rel=1e-9) and np.allclose(fits[0][1], fits[1][1], atol=1e-9)
+
+
 def test_quantile_with_infinite_and_nan_values(spark):
     values = [float(i) for i in range(501)] + [float("inf")] * 5 + [float("-inf")] * 3 + [float("nan"), None]
     df = spark.createDataFrame([(v,) for v in values], "x double")

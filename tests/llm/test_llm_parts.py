@@ -1,11 +1,13 @@
 """The parts of the operators by themselves."""
 
+import collections
 import random
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evalspark.llm import bpe, components, html_text, langid, packing, quality, secret_scan, simhash, topk, url_filter
 
@@ -94,6 +96,40 @@ def test_search_block(seed, n, d, k):
         assert got.get(own, []) == sorted((-int(v[j] @ q[i]), ids[j]) for j in range(n) if ids[j] != own)[:k]
 
 
+def test_bounds_stop_the_search():
+    draw = np.random.default_rng(5)
+    v = draw.normal(size=(1_500, 64))
+    v = np.floor(64 * v / np.linalg.norm(v, axis=1)[:, None]).astype(int)
+    v[700:720] = v[40:60]  # ties across the bound
+    ids, here = np.arange(1_500), slice(500, 1_500)
+    scores = v[:30] @ v.T
+    scores[np.arange(30), np.arange(30)] = -(10**6)
+    bounds = np.sort(scores[:, :520], axis=1)[:, -20].astype(float)
+    depths: list = []
+    found = collections.defaultdict(list)
+    for q, i, s in topk.search_block(ids[here], v[here], ids[:30], v[:30], 20, bounds, depths=depths):
+        found[q].append((-s, i))
+    for q in range(30):
+        best = sorted((-s, i) for i, s in enumerate(scores[q].tolist()) if i >= 500)[:20]
+        assert sorted(found[q]) == [b for b in best if -b[0] >= bounds[q]]
+    assert len(depths) == 30 and max(depths) < 1
+
+
+def test_top_k_in_two_passes(spark):
+    draw = np.random.default_rng(6)
+    v = draw.normal(size=(900, 8))
+    v[600:650] = v[:50]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    found = collections.defaultdict(list)
+    for r in topk.top_k(rows, "id", "v", F.col("id") % 50 == 0, k=5, block=100).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    q = np.floor(v * 64).astype(int)
+    for i in range(0, 900, 50):
+        best = sorted((-s, j) for j, s in enumerate((q @ q[i]).tolist()) if j != i)[:5]
+        assert sorted(found[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert len(found) == 18
+
+
 def test_search_of_large_numbers():
     v = np.array([[10**9, -(10**9)], [10**9, 10**9], [3, 4]])
     assert topk.search_block(np.arange(3), v, np.array([0]), v[:1], 2)[1][1:] == (2, -(10**9))

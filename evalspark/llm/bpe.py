@@ -3,15 +3,20 @@
 How far ahead a merge can depend on the text follows from the merge list. A merge of u
 and v happens unless v never forms whole, which takes a merge of lower rank between a
 suffix of v and what follows, and so on with falling ranks: the longest such chain, in
-bytes, is the sufficient lookahead (``lookahead``). The encoder keeps a buffer of bytes;
-a token whose end lies at least that far before the end of the buffer is final and is
-emitted, and merging goes on from there, since no merge crosses the border of two final
-tokens. Memory is bounded by the lookahead and a chunk, however long the input.
+bytes, is the sufficient lookahead of u. That of a token is the largest of itself and of
+the suffixes it was merged from (``ahead``), that of the list the largest of all
+(``lookahead``).
 
-Texts are cut into pieces by the vocabulary's pattern first, one match at a time, and
-special strings have tokens of their own; short pieces are remembered (up to a bound),
-long ones run through the transducer. The decoder is a state machine over bytes: tokens
-go in one by one, characters come out when complete, malformed bytes as U+FFFD.
+Texts go through a ``Transducer`` in chunks of characters. It holds back what the pattern
+of the vocabulary or a special string could still change: a few characters, since a piece
+is closed once the two characters after it are known. Closed pieces give their tokens at
+once, and those of short pieces are remembered (up to a bound). A long piece that is
+still open gives each token whose lookahead lies before the end of the bytes seen, and
+merging goes on from there, since no merge crosses the border of final tokens. So memory
+is bounded by a chunk and the lookahead, however long the input.
+
+The decoder is a state machine over bytes: tokens go in one by one, characters come out
+when complete, malformed bytes as U+FFFD.
 
 Defined results: a null text is empty, with no token; repeated rows get equal answers; an
 empty table gives no rows; other columns are not read.
@@ -36,9 +41,8 @@ from evalspark.llm.tokens import byte_letters, vocabulary_path
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 REMEMBERED = 250_000
 NEVER = 1 << 40  # the rank of a pair that doesn't merge
-PORTION = 20_000  # characters of a text that are cut into pieces at a time
-SHORT = 64  # bytes of a piece that is encoded at once
-CHUNK = 4_096
+CHUNK = 16_384  # characters that go into the transducer at a time
+SHORT = 64  # characters of an open piece that are held back whole, and of a closed one that is remembered
 
 # The pattern of byte-level vocabularies; \s as Unicode has it, without the separators U+001C to U+001F.
 _SPACE = r"[\t-\r \x85\xa0  -     　]"
@@ -46,6 +50,7 @@ _BLANK = r"\t-\r \x85\xa0  -     　"
 PATTERN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|{_SPACE}+(?![^{_BLANK}])|{_SPACE}+"
 )
+LETTERS, DIGITS, SIGNS, SPACES = map(regex.compile, (r"\p{L}*", r"\p{N}*", rf"[^{_BLANK}\p{{L}}\p{{N}}]*", rf"{_SPACE}*"))
 
 
 class Vocabulary:
@@ -68,23 +73,21 @@ class Vocabulary:
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.rank = {p: rank for p, (rank, _) in self.merges.items()}.get
         self.made = [made for _, made in self.merges.values()]
-        self.lookahead = self._lookahead()
-
-    def _lookahead(self) -> int:
-        """Bytes that the longest chain of merges with falling ranks can reach ahead."""
+        self.ahead = self._ahead()
+        self.lookahead = max(self.ahead.values())
+        self.longest_special = max(map(len, self.special), default=0)
+        starts = "".join(regex.escape(x) for x in sorted({x[0] for x in self.special}))
+        self.special_start = regex.compile(f"[{starts}]") if self.special else None
+
+    def _ahead(self) -> dict[int, int]:
+        """By token: bytes after its end that must be known before it is final."""
         reach: dict[int, int] = {}  # by left token: bytes that a merge of a rank seen so far depends on, from its end on
         ends: dict[int, int] = {}  # by token: its right half
-        longest = 1
         for (u, v), (_, made) in sorted(self.merges.items(), key=lambda m: m[1][0]):
-            beyond, s = 0, v
-            while s is not None:  # v and all its suffixes along the tree of its merges
-                beyond = max(beyond, reach.get(s, 0))
-                s = ends.get(s)
-            here = len(self.bytes[v]) + beyond
+            here = len(self.bytes[v]) + max(reach.get(s, 0) for s in _suffixes(v, ends))
             reach[u] = max(reach.get(u, 0), here)
             ends.setdefault(made, v)
-            longest = max(longest, here)
-        return longest
+        return {t: max(1, *(reach.get(s, 0) for s in _suffixes(t, ends))) for t in self.bytes}
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a short byte string: the lowest rank first, of equals the leftmost."""
@@ -125,63 +128,122 @@ class Vocabulary:
         return [x for x in ids if x is not None]
 
 
+def _suffixes(token: int, ends: dict[int, int]) -> Iterator[int]:
+    """The token and all its suffixes along the tree of its merges."""
+    s: int | None = token
+    while s is not None:
+        yield s
+        s = ends.get(s)
+
+
 class Encoder:
-    """Encodes texts; ``pieces`` yields tuples of ids as they become final."""
+    """Encodes texts; ``pieces`` yields ids as they become final."""
 
     def __init__(self, vocabulary: Vocabulary, chunk: int = CHUNK, remembered: int = REMEMBERED):
         self.vocabulary, self.chunk, self.remembered = vocabulary, chunk, remembered
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def pieces(self, text: str) -> Iterator[tuple[int, ...]]:
-        at = 0
-        pattern = self.vocabulary.special_pattern
-        if pattern is not None and "<" in text:
-            for m in pattern.finditer(text):
-                yield from self._plain(text, at, m.start())
-                yield (self.vocabulary.special[m[0]],)
-                at = m.end()
-        yield from self._plain(text, at, len(text))
+    def pieces(self, text: str) -> Iterator[list[int]]:
+        state = Transducer(self)
+        for i in range(0, len(text), self.chunk):
+            yield state.feed(text[i : i + self.chunk])
+        yield state.end()
 
-    def _plain(self, text: str, start: int, end: int) -> Iterator[tuple[int, ...]]:
+    def closed(self, words: list[str], out: list[int]) -> None:
+        """Appends the ids of pieces that nothing can change any more."""
         known = self.known
-        while start < end:
-            border = _border(text, start, end)
-            words = PATTERN.findall(text[start:border])
-            start = border
-            for word in words:
-                ids = known.get(word)
-                if ids is None:
-                    if len(word) > SHORT:
-                        yield from self.stream(self._bytes(word))
-                        continue
-                    ids = self.older.get(word) or tuple(self.vocabulary.merged(word.encode()))
-                    if len(known) >= self.remembered:  # pieces not met since the last time are forgotten
-                        self.older = known
-                        self.known = known = {}
-                    known[word] = ids
-                yield ids
-
-    def _bytes(self, word: str) -> Iterator[bytes]:
-        for i in range(0, len(word), self.chunk):
-            yield word[i : i + self.chunk].encode()
-
-    def stream(self, chunks: Iterator[bytes]) -> Iterator[tuple[int, ...]]:
-        """Ids of one piece that arrives in chunks, each as soon as nothing can change it."""
-        buffer, size, ahead = b"", self.vocabulary.bytes, self.vocabulary.lookahead
-        for chunk in chunks:
-            buffer += chunk
-            if len(buffer) <= ahead + self.chunk // 2:
-                continue
-            ids, at, final = self.vocabulary.merged_long(buffer), 0, []
-            for i in ids:
-                if at + len(size[i]) + ahead > len(buffer):
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                if len(word) > SHORT:
+                    out += self.vocabulary.merged_long(word.encode())
+                    continue
+                ids = self.older.get(word) or tuple(self.vocabulary.merged(word.encode()))
+                if len(known) >= self.remembered:  # pieces not met since the last time are forgotten
+                    self.older = known
+                    self.known = known = {}
+                known[word] = ids
+            out += ids
+
+
+class Transducer:
+    """Characters go in by ``feed``, ids come out once nothing that follows can change them."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.vocabulary = encoder, encoder.vocabulary
+        self.text = ""  # characters whose pieces aren't certain yet
+        self.kind = None  # how an open long piece goes on
+        self.open = b""  # its bytes whose tokens aren't final yet
+        self.due = 0  # bytes at which merging them again may pay
+
+    def feed(self, chars: str) -> list[int]:
+        return self._advance(self.text + chars, False)
+
+    def end(self) -> list[int]:
+        return self._advance(self.text, True)
+
+    def _advance(self, text: str, final: bool) -> list[int]:
+        out: list[int] = []
+        at, seen, v = 0, len(text), self.vocabulary
+        if v.special_start is not None and v.special_start.search(text):
+            if not final:  # what may be the start of a special string waits
+                begun = v.special_start.search(text, max(0, len(text) - v.longest_special + 1))
+                seen = begun.start() if begun else seen
+            for m in v.special_pattern.finditer(text):
+                if m.start() >= seen:
                     break
-                at += len(size[i])
-                final.append(i)
-            buffer = buffer[at:]
-            yield tuple(final)
-        yield tuple(self.vocabulary.merged_long(buffer))
+                self._plain(text, at, m.start(), True, out)
+                out.append(v.special[m[0]])
+                at = m.end()
+        at = self._plain(text, at, max(at, seen), final, out)
+        self.text = text[at:]
+        return out
+
+    def _plain(self, text: str, start: int, end: int, final: bool, out: list[int]) -> int:
+        """Takes in ``text[start:end]``, which holds no special string, as far as it is certain; returns how far."""
+        if self.kind is not None:
+            stop = self.kind.match(text, start, end).end()
+            over = stop < end or final
+            if self.kind is SPACES and not (final and stop == end):
+                stop = max(start, stop - 1)  # the last space may belong to the next piece
+            self.open += text[start:stop].encode()
+            if not over:
+                self._drain(out)
+                return stop
+            out += self.vocabulary.merged_long(self.open)
+            self.kind, self.open, start = None, b"", stop
+        words = PATTERN.findall(text, start, end)
+        if final:
+            self.encoder.closed(words, out)
+            return end
+        first, certain = "", end
+        while words and certain + 2 > end:
+            first = words.pop()
+            certain -= len(first)
+        self.encoder.closed(words, out)
+        if len(first) > SHORT:
+            last = first[-1]
+            self.kind = next(k for k in (LETTERS, DIGITS, SPACES, SIGNS) if k.fullmatch(last))
+            taken = first[:-1] if self.kind is SPACES else first
+            self.open, self.due = taken.encode(), 0
+            self._drain(out)
+            certain += len(taken)
+        return certain
+
+    def _drain(self, out: list[int]) -> None:
+        """Emits the tokens of the open piece that are final."""
+        if len(self.open) < self.due:
+            return
+        size, ahead, at = self.vocabulary.bytes, self.vocabulary.ahead, 0
+        for i in self.vocabulary.merged_long(self.open):
+            stop = at + len(size[i])
+            if stop + ahead[i] > len(self.open):
+                break
+            at = stop
+            out.append(i)
+        self.open = self.open[at:]
+        self.due = 2 * len(self.open) + SHORT
 
 
 class Decoder:
@@ -198,16 +260,6 @@ class Decoder:
         return self.state.decode(b"", final=True)
 
 
-def _border(text: str, start: int, end: int) -> int:
-    """A place after about ``PORTION`` characters where the pattern begins a new piece: a space between two letters."""
-    at = start + PORTION
-    while 0 <= (at := text.find(" ", at, end - 1)):
-        if text[at - 1].isalpha() and text[at + 1].isalpha():
-            return at
-        at += 1
-    return end
-
-
 @functools.lru_cache(maxsize=4)
 def vocabulary(name: str | None = None) -> Vocabulary:
     return Vocabulary(vocabulary_path(name))

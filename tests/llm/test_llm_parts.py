@@ -181,6 +181,41 @@ def test_bpe_streams_long_pieces(library):
         assert [i for p in pieces for i in p] == library.encode(text, add_special_tokens=False).ids
 
 
+FRAGMENTS = ["a", "word", " word", "'s", "'", "re", "ll", " ", "  ", "\n", "\n\n ", "\t", "12", " 345", "!", " --", "<", "<|", "<|endoftext|>", "|>", "é", "日本語", "\x1c", "\u2003", "aeth" * 30, " " * 90, "=" * 80, "7" * 70]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(FRAGMENTS), max_size=40), st.integers(1, 40))
+def test_bpe_is_the_same_in_any_chunks(library, parts, chunk):
+    text = "".join(parts)
+    ids = [i for p in bpe.Encoder(bpe.vocabulary(), chunk=chunk).pieces(text) for i in p]
+    assert ids == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_holds_back_little():
+    """Whatever comes in, what waits is bounded by the chunk and the lookahead."""
+    v = bpe.vocabulary()
+    for unit in ("aeth", " the cat", "-", " ", "\n", "x1", "<|endoftext", "日本", "'"):
+        state, out, text = bpe.Transducer(bpe.Encoder(v)), 0, unit * 6_000
+        for i in range(0, len(text), 500):
+            out += len(state.feed(text[i : i + 500]))
+            assert len(state.text) <= bpe.SHORT + v.longest_special + 3
+            assert len(state.open) <= 3 * v.lookahead + 4 * 500
+        assert out > 0 and len(state.end()) <= 3 * v.lookahead + 4 * 500
+    assert max(v.ahead.values()) == v.lookahead
+
+
+def test_bpe_streams_the_given_texts():
+    """Tokens of every long text come out before its last chunk has come in."""
+    import pyarrow.parquet as pq
+
+    encoder = bpe.Encoder(bpe.vocabulary(), chunk=256)
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist():
+        if text and len(text) > 1_000:
+            got = list(encoder.pieces(text))
+            assert len(got[-1]) <= bpe.SHORT + 3 and sum(map(len, got[:-1])) > len(got[-1])
+
+
 def test_bpe_decodes_broken_bytes(library):
     ids = [i for i, b in bpe.vocabulary().bytes.items() if b in (b"\xe2", b"\x82", b"\xff", b"a")]
     for x in (ids, ids[::-1], ids * 2):

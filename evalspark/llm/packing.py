@@ -40,6 +40,9 @@ class Limits:
     loss: int = 2048
 
 
+TRAINING = Limits(segments=8)  # the query's and the pipeline's: attention masks of eight segments a sequence
+
+
 class Packer:
     """Packs examples as they come; ``add`` and ``close`` return finished sequences.
 
@@ -136,21 +139,32 @@ class _Cut(tuple):
         return super().__new__(cls, (key, ids[:end], prompt))
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, limits: Limits = Limits(), end_id: int | None = 1, prompt: Column | None = None, vocabulary: str | None = None, pool: int = 256) -> DataFrame:
+def heading(text: Column) -> Column:
+    """The first line of a text of several lines, line break included; empty for a text of one line."""
+    return F.regexp_extract(text, r"\A[^\n]*\n", 0)
+
+
+def pack(
+    docs: DataFrame, id_col: str, text_col: str, limits: Limits = Limits(), end_id: int | None = 1, prompt: Column | None = None,
+    prompt_text: Column | None = None, vocabulary: str | None = None, pool: int = 256,
+) -> DataFrame:
     """One row per piece: which ids of which document lie where in which sequence.
 
-    ``prompt`` gives the number of leading tokens of a row that bear no loss, ``end_id``
-    the token put after each document. ``ids_crc32`` is that of the piece's ids as
-    little-endian 32-bit numbers.
+    ``prompt`` gives the number of leading tokens of a row that bear no loss; where
+    ``prompt_text`` is given instead, those are the tokens that end within so many bytes as
+    it has. ``end_id`` is the token put after each document. ``ids_crc32`` is that of the
+    piece's ids as little-endian 32-bit numbers. A null prompt is empty.
     """
+    in_bytes = prompt_text is not None
+    silent = F.octet_length(prompt_text) if in_bytes else F.lit(0) if prompt is None else prompt
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.coalesce(F.lit(0) if prompt is None else prompt, F.lit(0)).cast("long").alias("prompt"),
+        F.coalesce(silent, F.lit(0)).cast("long").alias("prompt"),
     )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).encode_array
+        encode, within = tokenizer(vocabulary).encode_array, tokenizer(vocabulary).within
         packer, number = Packer(limits, pool), TaskContext.get().partitionId() << 40
         out: list[tuple] = []
 
@@ -172,11 +186,13 @@ def pack(docs: DataFrame, id_col: str, text_col: str, limits: Limits = Limits(),
 
         for rows in batches:
             for doc_id, text, silent in zip(*(rows.column(i) for i in range(3))):
-                ids = encode(text.as_py())
+                ids, silent = encode(text.as_py()), silent.as_py()
+                if in_bytes:
+                    silent = within(ids, silent)
                 if end_id is not None:
                     ids = np.append(ids, np.uint32(end_id))
                 if len(ids):
-                    keep(packer.add(((doc_id.as_py(), len(ids)), ids, min(max(0, silent.as_py()), len(ids)))))
+                    keep(packer.add(((doc_id.as_py(), len(ids)), ids, min(max(0, silent), len(ids)))))
                 if len(out) >= 20_000:
                     yield batch()
         keep(packer.close())

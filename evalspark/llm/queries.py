@@ -31,7 +31,8 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, "doc_id", "text", packing.TRAINING, prompt_text=packing.heading(F.col("text")))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,13 @@ class FastTokenizer:
         self.path, self.special = path, set(added)
         self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
         self.slow = None
+        self.sizes = np.zeros(1 + max([*ranks.values(), *added.values()]), dtype=np.int64)  # bytes of each token
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
+            self.sizes[i] = len(token)
+
+    def within(self, ids: np.ndarray, size: int) -> int:
+        """How many leading tokens end within the first ``size`` bytes."""
+        return int(np.searchsorted(np.cumsum(self.sizes[ids[: size + 1]]), size, side="right")) if size > 0 else 0
 
     def encode_array(self, text: str) -> np.ndarray:
         try:

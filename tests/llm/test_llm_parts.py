@@ -153,6 +153,51 @@ def test_packer_keeps_every_limit(examples, pool, loss):
     assert {k: sorted(x) for k, x in seen.items()} == {(i, n): list(range(n)) for i, (n, _) in enumerate(examples)}
 
 
+def test_all_limits_shape_the_packing_of_the_given_texts():
+    """Prompts and segments change what a sequence takes; longest-fit alone is what no prompts and 512 segments give."""
+    import pyarrow.parquet as pq
+
+    from evalspark.llm.tokens import tokenizer
+
+    coder, examples = tokenizer(), []
+    for i, text in enumerate(pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()):
+        ids = coder.encode_array(text or "")
+        silent = len((text or "")[: (text or "").find("\n") + 1].encode())
+        examples.append(((i, len(ids)), ids, coder.within(ids, silent)))
+    examples = [e for e in examples if len(e[1])]
+
+    def packed(limits, prompts):
+        packer = packing.Packer(limits)
+        made = [s for key, ids, prompt in examples for s in packer.add((key, ids, prompt if prompts else 0))]
+        return [[(e[0][0], start, n) for e, start, n in s] for s in [*made, *packer.close()]]
+
+    plain, vector, wide = packed(packing.Limits(), False), packed(packing.TRAINING, True), packed(packing.Limits(), True)
+    same = {tuple(s) for s in plain} & {tuple(s) for s in vector}
+    assert len(same) < len(vector) / 2
+    assert max(map(len, wide)) > 8 == max(map(len, vector))  # the limit on segments binds
+    assert len(vector) < 1.02 * len(plain)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab é日\n<|endoftext|>", max_size=60), st.integers(0, 80))
+def test_tokens_within_a_prompt(text, size):
+    from evalspark.llm.tokens import tokenizer
+
+    coder = tokenizer()
+    ids = coder.encode_array(text)
+    ends = np.cumsum([len(bpe.vocabulary().bytes[int(i)]) for i in ids])
+    assert coder.within(ids, size) == int((ends <= size).sum()) and (not len(ids) or ends[-1] == len(text.encode()))
+
+
+def test_prompts_of_texts(spark):
+    docs = spark.createDataFrame([(1, "Title here\nand its body"), (2, "one line"), (3, None), (4, "\n")], "doc_id long, text string")
+    found = packing.pack(docs, "doc_id", "text", packing.TRAINING, prompt_text=packing.heading(F.col("text"))).collect()
+    silent = collections.Counter()
+    for r in found:
+        silent[r["doc_id"]] += r["length"] - r["loss_tokens"]
+    assert silent[1] == 3 and silent[2] == 0 == silent[3] and silent[4] == 1
+
+
 @pytest.fixture(scope="module")
 def library():
     import public_tokenizers

@@ -10,7 +10,8 @@ the shared folder and reads it for the next.
 3. ``near_duplicates``: keeps one document of each group of the SimHash operator (three-word
    shingles, three bits), that of the smallest id (of rows with that id, the first).
 4. ``secrets``: puts a mark in place of each secret and sets ``n_chars`` to the new length.
-5. ``packing``: one row per piece of a document in a training sequence.
+5. ``packing``: one row per piece of a document in a training sequence; the first line of a text
+   of several lines is its prompt and bears no loss.
 
 Nulls, empty texts, repeated rows, empty tables and further columns are treated as each
 operator states; further columns pass through the first four stages.
@@ -63,7 +64,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, "doc_id", "text")
+    return packing.pack(docs, "doc_id", "text", packing.TRAINING, prompt_text=packing.heading(F.col("text")))
 
 
 STAGES = [

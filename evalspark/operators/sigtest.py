@@ -29,7 +29,10 @@ def answer_patterns(correct: DataFrame, by: Sequence[str] = (), key: str = "case
     counts are written out at once, as every test starts from them. A rater without a
     row for a case of its family is wrong there.
     """
-    one = correct.groupBy(*by, key, "model").agg(F.max("correct").cast("int").alias("correct"))
+    # Dealt by case into a fixed number of tasks first: counts per case and rater are far larger than the
+    # bytes shuffled, by which adaptive execution would merge them into a few tasks.
+    dealt = spread(correct.select(*by, key, "model", "correct"), *by, key)
+    one = dealt.groupBy(*by, key, "model").agg(F.max("correct").cast("int").alias("correct"))
     per_case = one.groupBy(*by, key).agg(F.array_sort(F.collect_list(F.struct("model", "correct"))).alias("pattern"))
     return cut(_completed(cut(per_case.groupBy(*by, "pattern").agg(F.count("*").alias("n_cases"))), by))
 

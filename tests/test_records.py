@@ -299,3 +299,23 @@ def test_bit_slices_of_many_raters(spark):
     a, b = sigtest.cochrans_q(sigtest.answer_patterns(few)).first(), sigtest.cochrans_q_bits(few).first()
     assert a["n_raters"] == b["n_raters"] and b["q"] == pytest.approx(a["q"]) and b["p_value"] == pytest.approx(a["p_value"])
     assert sigtest.pairwise_discordant_bits(df.limit(0)).count() == 0
+
+
+def test_patterns_are_counted_in_as_many_tasks_as_the_session_shuffles_into(spark, tmp_path, monkeypatch):
+    from evalspark import fixtures
+
+    rows = [(u, t) for u in range(40) for t in fixtures.EVENT_TYPES[: 1 + u % 5]] + [(7, "view"), (None, "view")]
+    events = spark.createDataFrame(rows, "user_id long, event_type string").withColumn("ts", F.lit("2024-01-02").cast("timestamp"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    blocks = fixtures.blocks(spark, str(tmp_path))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert blocks.rdd.getNumPartitions() == tasks > 1
+
+    plans, cut = [], sigtest.cut
+    monkeypatch.setattr(sigtest, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    patterns = sigtest.answer_patterns(blocks)
+    per_case = plans[0].split("collect_list")[-1].split("Expand")[0]  # from the patterns down to the rows of the raters
+    assert "REPARTITION_BY_NUM" in per_case and "ENSURE_REQUIREMENTS" not in per_case
+    assert patterns.agg(F.sum("n_cases")).first()[0] == 41
+    pairs = {(r["model_a"], r["model_b"]): r["a_right_b_wrong"] for r in sigtest.pairwise_discordant(patterns).collect()}
+    assert pairs["click", "view"] == 31 and pairs["click", "error"] == 8

@@ -392,3 +392,17 @@ def test_no_small_cluster(spark):
     flagged = anomaly.small_clusters(df.withColumn("is_anomaly", F.lit(False)), 0.01)
     row = anomaly.coverage(flagged).first()
     assert row["n_small"] == 0 and row["pct_small_flagged"] is None and row["pct_anomaly_in_small"] is None
+
+
+def test_passes_rank_centres_by_products_and_settle_what_is_close_by_distances():
+    rng = np.random.default_rng(3)
+    for shift in (0.0, 1e8):
+        x = np.round(rng.normal(size=(3_000, 7)) * 4) / 4 + shift  # a grid, so that many distances are equal
+        x = np.vstack([x, x[:500] + rng.normal(size=(500, 7)) * 1e-9])
+        for k in (1, 2, 12, 300):
+            centers = x[rng.integers(0, len(x), k)]
+            d2 = kmeans.distances2(x, centers)
+            members = kmeans._members(np.ascontiguousarray(x.T), centers)
+            assert (members.sum(axis=0) == 1).all() and (members.argmax(axis=0) == d2.argmin(axis=1)).all()
+            near, least = kmeans._nearest(x, centers)
+            assert (near == d2.argmin(axis=1)).all() and np.allclose(least, d2.min(axis=1), rtol=1e-12, atol=0)

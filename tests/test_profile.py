@@ -406,3 +406,14 @@ def test_passes_rank_centres_by_products_and_settle_what_is_close_by_distances()
             assert (members.sum(axis=0) == 1).all() and (members.argmax(axis=0) == d2.argmin(axis=1)).all()
             near, least = kmeans._nearest(x, centers)
             assert (near == d2.argmin(axis=1)).all() and np.allclose(least, d2.min(axis=1), rtol=1e-12, atol=0)
+
+
+def test_points_of_the_largest_density_cluster_ask_no_other_block(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(900, 3)), rng.normal(size=(60, 3)) * 0.2 + 4.0])
+    df, cols = frame(spark, x)
+    asked, in_shares = [], dbscan.in_shares
+    monkeypatch.setattr(dbscan, "in_shares", lambda rows, asking, *a: asked.append(asking.count()) or in_shares(rows, asking, *a))
+    got = sorted(dbscan.dbscan(df, cols, 0.8, 6, block=100).collect(), key=lambda r: r["row_id"])
+    assert (np.array([r["cluster"] for r in got]) == density_labels(x, 0.8, 6)).all()
+    assert asked[0] < len(x) // 4  # 1,000 and more where every point asked every block within the radius

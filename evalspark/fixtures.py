@@ -39,7 +39,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = use_all_cores(table(spark, sf_dir, "part"))
+    part = use_all_cores(table(spark, sf_dir, "part"), by_files=True)
     nation = table(spark, sf_dir, "nation")
     unit = F.col("p_size") % 4
     return part.join(
@@ -147,9 +147,8 @@ def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("row_id"), F.col("p_partkey").alias("id")
-    )
+    keys = use_all_cores(table(spark, sf_dir, "part").select("p_partkey"), by_files=True)
+    i = keys.select(F.col("p_partkey").alias("row_id"), F.col("p_partkey").alias("id"))
     i_ = F.col("id")
     far = i_ % 101 == 100
     return i.select(

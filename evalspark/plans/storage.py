@@ -44,15 +44,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def use_all_cores(df: DataFrame, most: int = 64) -> DataFrame:
+def use_all_cores(df: DataFrame, most: int = 64, by_files: bool = False) -> DataFrame:
     """Deal the rows of a small scan out over the cores.
 
     A file of one row group is read by one task, whatever is done to its rows. A
-    scan that already has as many tasks is left as it is. For plain scans only: asking
-    for the number of tasks would run the stages of anything else.
+    scan that already has as many tasks is left as it is; ``by_files`` goes by the number of
+    files too, as of a file's splits only those with the middle of a row group have rows. For
+    plain scans only: asking for the number of tasks would run the stages of anything else.
     """
     wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    tasks = df.rdd.getNumPartitions()
+    # Splits of full size, several to a core, are taken to be row groups.
+    dealt = tasks >= wanted and (not by_files or tasks >= 4 * wanted or len(df.inputFiles()) >= wanted)
+    return df if dealt else df.repartition(wanted)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

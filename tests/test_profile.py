@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from evalspark import fixtures
 from evalspark.operators import anomaly, dbscan, features, kmeans, validity, ward
 from evalspark.plans import storage
 from evalspark.plans.joins import skew_join
@@ -72,6 +73,21 @@ def test_skew_join_is_a_join(spark):
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    spark.range(4000).toDF("p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    conf = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k"}  # many splits, one of them with rows
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert fixtures.table(spark, str(tmp_path), "part").rdd.getNumPartitions() >= 8
+        tasks = fixtures.planted(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks.sum() == 4000 and len(tasks) == 8 and tasks.max() < 1000
+
+
 # --- statistics -------------------------------------------------------------
 
 

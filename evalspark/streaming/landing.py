@@ -63,18 +63,25 @@ def compact(spark: SparkSession, store: str, compacted: str, keys: Sequence[str]
     return target
 
 
-def latest(spark: SparkSession, store: str, keys: Sequence[str] = ("case_id", "model"), compacted: BucketStore | None = None) -> DataFrame:
+def latest(
+    spark: SparkSession, store: str, keys: Sequence[str] = ("case_id", "model"), compacted: BucketStore | None = None,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
     """Newest answer per case and model; a failed try never hides an earlier answer.
 
     Where batches have been ``compacted``, only later ones are read one by one. ``max_by``
-    combines on the map side, so nothing is gathered per key.
+    combines on the map side, so nothing is gathered per key; but it sorts its rows, so name
+    the ``columns`` wanted beside the keys where texts and parsed fields are not.
     """
     landed = _landed(spark, store, -1 if compacted is None else compacted.manifest()[1])
     if compacted is not None:
         landed = landed.unionByName(compacted.read())
-    columns = [c for c in landed.columns if c not in (*keys, "version", "batch")]
+    if columns is None:
+        columns = [c for c in landed.columns if c not in (*keys, "version", "batch")]
+    # Worked out before the aggregate, so that the text itself is sorted only where it is wanted.
     rank = F.struct(F.col("raw").isNotNull(), F.col("version"), F.col("batch"))
-    return landed.groupBy(*keys).agg(F.max_by(F.struct(*columns), rank).alias("row")).select(*keys, "row.*")
+    ranked = landed.select(*keys, F.struct(*columns).alias("row"), rank.alias("_rank"))
+    return ranked.groupBy(*keys).agg(F.max_by("row", "_rank").alias("row")).select(*keys, "row.*")
 
 
 def land_twice(answers: DataFrame, fields: Sequence[str], compacting: bool = False) -> DataFrame:
@@ -93,4 +100,5 @@ def land_twice(answers: DataFrame, fields: Sequence[str], compacting: bool = Fal
         land_stream(spark, f"{root}/in", f"{root}/store", f"{root}/state", fields).awaitTermination()
         if compacting and run == 0:
             target = compact(spark, f"{root}/store", f"{root}/compacted")
-    return latest(spark, f"{root}/store", compacted=target).groupBy("model", "parse_state").agg(F.count("*").alias("n"))
+    states = latest(spark, f"{root}/store", compacted=target, columns=["parse_state"])
+    return states.groupBy("model", "parse_state").agg(F.count("*").alias("n"))

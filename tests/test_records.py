@@ -267,6 +267,18 @@ def test_buckets_after_a_failure(spark, tmp_path):
     assert sorted((r["case_id"], r["raw"]) for r in kept.read().collect()) == [(1, "x"), (2, "y"), (3, "z")]
 
 
+def test_states_are_counted_without_the_texts(spark, tmp_path):
+    rows = [(i, "m", '{"a":"x"}', 0) for i in range(20)] + [(0, "m", None, 1), (1, "m", "[1]", 1), (None, "m", '{"a":"y"}', 0)]
+    spark.createDataFrame(rows, landing.ANSWER_SCHEMA).write.json(f"{tmp_path}/in")
+    landing.land_stream(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/state", ["a"]).awaitTermination()
+    whole, states = (landing.latest(spark, f"{tmp_path}/store", columns=c) for c in (None, ["parse_state"]))
+    assert sorted(map(str, states.collect())) == sorted(map(str, whole.select(*states.columns).collect()))
+    assert states.columns == ["case_id", "model", "parse_state"] and states.filter("parse_state = 'ok'").count() == 20
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "parsed" not in plan  # neither read nor sorted
+    assert "raw" not in plan.split("Project")[0]  # read to rank by, but not sorted
+
+
 def test_landing_compacted_again_and_again(spark, tmp_path):
     src, out, state, packed = (str(tmp_path / d) for d in ("in", "out", "state", "packed"))
     for version, rows in enumerate(([(1, '{"a":"x"}'), (2, None)], [(1, None), (2, '{"a":"y"}')], [(3, '{"a":"z"}')])):

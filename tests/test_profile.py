@@ -88,6 +88,34 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     assert tasks.sum() == 4000 and len(tasks) == 8 and tasks.max() < 1000
 
 
+def test_distances_in_a_block_are_computed_once_for_all_radii(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, e2 = rng.uniform(0, 7, (900, 7)).round(1), np.array([2.0, 2.2, 2.4, 2.6, 2.8, 3.0]) ** 2
+    level, seen, compute = rng.integers(0, 7, len(x)), [0], dbscan.distances2
+
+    def counted(y, z):
+        seen[0] += len(y) * len(z)
+        return compute(y, z)
+
+    monkeypatch.setattr(dbscan, "distances2", counted)
+    got = dbscan._parts_inside(x, level, e2)
+    assert 0 < seen[0] <= len(x) ** 2
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    for at, limit in enumerate(e2):
+        near = (d2 <= limit + 1e-9) & (level[:, None] <= at) & (level[None] <= at)
+        want = np.where(level <= at, np.arange(len(x)), -1)
+        while True:
+            lower = np.where(want >= 0, np.where(near, want[None], len(x)).min(axis=1), -1)
+            if (lower == want).all():
+                break
+            want = lower
+        assert (got[at] == want).all()
+    calls = []
+    monkeypatch.setattr(dbscan, "_parts_by_points", lambda *a: calls.append(a))
+    dbscan._parts_inside(x / 100, level, e2)  # whole leaves lie within the radii
+    assert not calls
+
+
 # --- statistics -------------------------------------------------------------
 
 

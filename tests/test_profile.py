@@ -99,7 +99,7 @@ def test_distances_in_a_block_are_computed_once_for_all_radii(monkeypatch):
 
     monkeypatch.setattr(dbscan, "distances2", counted)
     got = dbscan._parts_inside(x, level, e2)
-    assert 0 < seen[0] <= len(x) ** 2
+    assert 0 < seen[0] <= 0.75 * len(x) ** 2  # each pair about once; 0.91 where each radius compared its own
     d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     for at, limit in enumerate(e2):
         near = (d2 <= limit + 1e-9) & (level[:, None] <= at) & (level[None] <= at)

@@ -15,6 +15,9 @@ the shared folder and reads it for the next.
 
 Nulls, empty texts, repeated rows, empty tables and further columns are treated as each
 operator states; further columns pass through the first four stages.
+
+Each stage bounds the bytes of the Arrow batches that reach Python (``bounded_batches``), a
+setting of the session, as a stage's result is computed when it is written.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm import langid, packing, quality, secret_scan, simhash
-from evalspark.llm.common import fresh, table
+from evalspark.llm.common import bounded_batches, fresh, table
 from evalspark.plans.storage import cut, new_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     answer = fresh(docs, "_answer")
     model = langid.train(docs, "doc_id", "text", "lang")
     told = docs.withColumn(answer, langid.predicted(F.col("text"), model))
@@ -35,6 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     counts, whole = fresh(docs, "_counts"), fresh(docs, "_whole")
     voted = cut(quality.votes(docs.select(F.struct(*docs.columns).alias(whole), quality.features(F.col("text")).alias(counts)).select(whole, f"{counts}.*")))
     kept = quality.judge(voted, quality.fit(voted)).filter("kept")
@@ -42,6 +47,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     row = F.monotonically_increasing_id().alias("row")
     marked = cut(docs.select(F.struct(*docs.columns).alias("whole"), simhash.fingerprint(F.col("text")).alias("f"), row))
     best = F.min(F.struct(F.col("whole.doc_id").isNull().alias("none"), F.col("whole.doc_id").alias("doc_id"), "row")).alias("first")
@@ -51,6 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     model = secret_scan.learn(docs, "text")
     whole = cut(docs.select(F.struct(*docs.columns).alias("whole"), secret_scan.scan(F.col("text"), model).alias("r")).select("whole", "r.*"))
     found = secret_scan.with_spans(whole, secret_scan.thresholds(whole))
@@ -64,6 +71,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return packing.pack(docs, "doc_id", "text", packing.TRAINING, prompt_text=packing.heading(F.col("text")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = 4 << 20  # of a table that Python reads at a time
+
+
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Have rows reach Python in Arrow batches of about ``most`` bytes at the most.
+
+    By default 10,000 texts, up to 64 MB, make one batch, which each running task holds several
+    times: as Arrow in the JVM and in Python, as strings, and once more while a buffer doubles.
+    A smaller bound of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", spark.conf.get(name).lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= most:
+        spark.conf.set(name, str(most))
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have, in whatever case."""
     taken = {c.lower() for c in df.columns}

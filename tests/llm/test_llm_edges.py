@@ -143,3 +143,28 @@ def test_pipeline_is_its_stages(spark):
     groups = {r["doc_id"]: r["component_id"] for r in QUERIES["op4_simhash"](spark, sf).collect()}
     assert {groups[i] for i in kept[1]} == {groups[i] for i in kept[2]} and len({groups[i] for i in kept[2]}) <= len(kept[2])
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == kept[3]
+
+
+def test_pipeline_stages_bound_the_batches_that_reach_python(spark, edge_dir):
+    """A batch of 10,000 texts, or of 64 MB, is held several times by each running task."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.schema("doc_id long, text string, lang string, source string, n_chars long").parquet(f"{edge_dir}/documents.parquet")
+    long = spark.range(0, 64, 1, 1).selectExpr("repeat('abcd ', 50000) as text")
+    before = spark.conf.get(name)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(name, "64m")
+            stage(spark, docs, edge_dir)
+            assert long.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] < 5 << 20
+        for given in ("1m", "4095k"):  # a smaller bound stays
+            spark.conf.set(name, given)
+            corpus_pipeline.pack(spark, docs, edge_dir)
+            assert spark.conf.get(name) == given
+    finally:
+        spark.conf.set(name, before)

@@ -461,3 +461,55 @@ def test_points_of_the_largest_density_cluster_ask_no_other_block(spark, monkeyp
     got = sorted(dbscan.dbscan(df, cols, 0.8, 6, block=100).collect(), key=lambda r: r["row_id"])
     assert (np.array([r["cluster"] for r in got]) == density_labels(x, 0.8, 6)).all()
     assert asked[0] < len(x) // 4  # 1,000 and more where every point asked every block within the radius
+
+
+def _clouds(rng):
+    """Points near zero, far from it, on a grid with ties, and of squares that overflow."""
+    yield rng.standard_normal((600, 7))
+    yield rng.standard_normal((600, 3)) * 1e-6 + 1e6
+    yield np.unique(np.round(rng.standard_normal((900, 2)) * 15), axis=0)
+    yield rng.standard_normal((300, 3)) * 1e160
+
+
+def test_leaves_compute_distances_of_pairs_left_by_a_product_of_matrices(monkeypatch):
+    from evalspark.operators import leaves
+
+    rng, exact, compute = np.random.default_rng(16), [0], leaves.pair_distances2
+
+    def counted(y, x):
+        exact[0] += len(y)
+        return compute(y, x)
+
+    monkeypatch.setattr(leaves, "pair_distances2", counted)
+    for x in _clouds(rng):
+        d2 = leaves.distances2(x, x)
+        d2[np.arange(len(x)), np.arange(len(x))] = np.inf
+        limit, exact[0] = np.sort(d2, axis=1)[:, 20], 0
+        row, point, dist = leaves.Leaves(x).within(x, np.arange(len(x)), limit)
+        wanted = np.argwhere((d2 <= limit[:, None]) & np.isfinite(d2))
+        order = np.lexsort((point, row))
+        assert np.array_equal(np.column_stack([row, point])[order], wanted) and np.array_equal(dist, d2[row, point])
+        assert len(row) <= exact[0] and (abs(x).max() > 1e100 or exact[0] <= 1.1 * (len(row) + len(x)))  # a point itself is among those left
+
+
+def test_ward_costs_are_computed_of_pairs_left_by_a_product_of_matrices(monkeypatch):
+    rng, exact, compute = np.random.default_rng(13), [0], ward.pair_distances2
+
+    def counted(y, x):
+        exact[0] += len(y)
+        return compute(y, x)
+
+    monkeypatch.setattr(ward, "pair_distances2", counted)
+    for x in _clouds(rng):
+        w, ids, exact[0] = rng.integers(1, 4, len(x)).astype(float), rng.permutation(len(x)), 0
+        groups, own = ward.Groups(x, w, ids), np.arange(len(x))
+        cost, place, low = groups.cheapest(x, w, own)
+        every = ((x[:, None] - x[None]) ** 2)[..., 0]
+        for j in range(1, x.shape[1]):
+            every = every + (x[:, None, j] - x[None, :, j]) ** 2
+        every *= w[:, None] * w[None] / (w[:, None] + w[None])
+        every[own, own] = np.inf
+        finite = np.isfinite(every.min(axis=1))
+        assert np.array_equal(cost[finite], every.min(axis=1)[finite]) and (low <= cost).all()
+        assert all(ids[p] == ids[e == e.min()].min() for p, e in zip(place[finite], every[finite]))
+        assert (place[~finite] == -1).all() and (abs(x).max() > 1e100 or exact[0] < groups.seen / 10)

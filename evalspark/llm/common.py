@@ -14,6 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 BATCH_BYTES = 4 << 20  # of a table that Python reads at a time
+BATCH_ROWS = 512  # that Spark decodes from Parquet at a time
 
 
 def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
@@ -21,8 +22,11 @@ def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
 
     By default 10,000 texts, up to 64 MB, make one batch, which each running task holds several
     times: as Arrow in the JVM and in Python, as strings, and once more while a buffer doubles.
-    A smaller bound of the session stays.
+    For the same reason Spark decodes fewer rows of Parquet at a time: the texts of 4,096 are one array
+    that grows by doubling. Smaller bounds of the session stay.
     """
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(rows, str(min(BATCH_ROWS, int(spark.conf.get(rows)))))
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", spark.conf.get(name).lower()).groups()
     if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= most:

@@ -153,18 +153,22 @@ def test_pipeline_stages_bound_the_batches_that_reach_python(spark, edge_dir):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
 
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    name, rows = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
     docs = spark.read.schema("doc_id long, text string, lang string, source string, n_chars long").parquet(f"{edge_dir}/documents.parquet")
     long = spark.range(0, 64, 1, 1).selectExpr("repeat('abcd ', 50000) as text")
-    before = spark.conf.get(name)
+    before = {c: spark.conf.get(c) for c in (name, rows)}
     try:
         for _, stage in corpus_pipeline.STAGES:
             spark.conf.set(name, "64m")
+            spark.conf.set(rows, "4096")
             stage(spark, docs, edge_dir)
+            assert spark.conf.get(rows) == "512"
             assert long.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] < 5 << 20
         for given in ("1m", "4095k"):  # a smaller bound stays
             spark.conf.set(name, given)
+            spark.conf.set(rows, "100")
             corpus_pipeline.pack(spark, docs, edge_dir)
-            assert spark.conf.get(name) == given
+            assert (spark.conf.get(name), spark.conf.get(rows)) == (given, "100")
     finally:
-        spark.conf.set(name, before)
+        for c, value in before.items():
+            spark.conf.set(c, value)

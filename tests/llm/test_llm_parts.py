@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -237,6 +238,29 @@ def test_bpe_is_the_same_in_any_chunks(library, parts, chunk):
     assert ids == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.characters(max_codepoint=0xFF), st.sampled_from([*FRAGMENTS, "'t", " 'll", "x'd"]))).map("".join))
+def test_bpe_cuts_narrow_texts_alike(library, text):
+    """Texts up to U+00FF go through a cheaper pattern, with the same pieces."""
+    narrow = all(c <= "\xff" for c in text)
+    assert bpe.pattern(text) is (bpe.NARROW if narrow else bpe.PATTERN)
+    assert bpe.pattern(text).findall(text) == bpe.PATTERN.findall(text)
+    assert [i for p in bpe.Encoder(bpe.vocabulary()).pieces(text) for i in p] == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_merges_a_piece_once_a_worker(monkeypatch):
+    """Tasks that follow in a Python worker look up what those before them merged; the number of pieces kept is bounded."""
+    merged, words = [], [f" word{chr(97 + i)}{chr(97 + j)}q" for i in range(20) for j in range(20)]
+    monkeypatch.setattr(bpe.Vocabulary, "merged", lambda self, piece, by=bpe.Vocabulary.merged: merged.append(piece) or by(self, piece))
+    bpe.worker_encoder.cache_clear()
+    first, second = (pd.concat(bpe.digested(iter([pd.Series(["".join(words), None])]))) for _ in range(2))
+    assert first.equals(second) and len(merged) == len(set(merged)) == len(words)
+    encoder = bpe.Encoder(bpe.vocabulary(), remembered=100)
+    for _ in range(3):
+        list(encoder.pieces("".join(words)))
+        assert len(encoder.known) <= 100 and len(encoder.known.older) <= 100
+
+
 def test_bpe_holds_back_little():
     """Whatever comes in, what waits is bounded by the chunk and the lookahead."""
     v = bpe.vocabulary()

@@ -74,7 +74,11 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.rank = {p: rank for p, (rank, _) in self.merges.items()}.get
+        right: dict[int, dict[int, int]] = {}
+        for (a, b), (rank, _) in self.merges.items():
+            right.setdefault(a, {})[b] = rank
+        self.rank = [right.get(i, {}).get for i in range(max(self.bytes) + 1)]  # by left token, asked with the right one
+        self.byte_ranks = [self.rank[a](b, NEVER) for a in self.byte_ids for b in self.byte_ids]
         self.made = [made for _, made in self.merges.values()]
         self.ahead = self._ahead()
         self.lookahead = max(self.ahead.values())
@@ -94,17 +98,17 @@ class Vocabulary:
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a short byte string: the lowest rank first, of equals the leftmost."""
-        ids = [self.byte_ids[b] for b in piece]
-        rank = self.rank
-        ranks = [rank(p, NEVER) for p in zip(ids, ids[1:])]
+        byte_ids, byte_ranks, rank, made = self.byte_ids, self.byte_ranks, self.rank, self.made
+        ids = [byte_ids[b] for b in piece]
+        ranks = [byte_ranks[a << 8 | b] for a, b in zip(piece, piece[1:])]
         while ranks and (least := min(ranks)) < NEVER:
             at = ranks.index(least)
-            ids[at : at + 2] = [self.made[least]]
-            del ranks[at]
+            ids[at] = new = made[least]
+            del ids[at + 1], ranks[at]
             if at < len(ranks):
-                ranks[at] = rank((ids[at], ids[at + 1]), NEVER)
+                ranks[at] = rank[new](ids[at + 1], NEVER)
             if at:
-                ranks[at - 1] = rank((ids[at - 1], ids[at]), NEVER)
+                ranks[at - 1] = rank[ids[at - 1]](new, NEVER)
         return ids
 
     def merged_long(self, piece: bytes) -> list[int]:
@@ -271,7 +275,8 @@ class Decoder:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def put(self, ids) -> str:
-        return self.state.decode(b"".join(map(self.bytes.__getitem__, ids)))
+        known = self.bytes
+        return self.state.decode(b"".join([known[i] for i in ids]))
 
     def end(self) -> str:
         return self.state.decode(b"", final=True)
@@ -297,11 +302,12 @@ def digests(encoder: Encoder, text: str, at_once: int = 4_096) -> tuple[int, str
     """``n_tokens, ids_sha256, decoded_sha256`` of a text, in portions of about ``at_once`` ids."""
     n, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(encoder.vocabulary)
     held: list[int] = []
+    decimal = _decimal()
 
     def flush() -> None:
         nonlocal n
         if held:
-            ids_hash.update((("," if n else "") + ",".join(map(_decimal().__getitem__, held))).encode())
+            ids_hash.update((("," if n else "") + ",".join([decimal[i] for i in held])).encode())
             text_hash.update(decoder.put(held).encode())
             n += len(held)
             held.clear()

@@ -367,6 +367,33 @@ def test_silhouette_of_single_row_cluster(spark):
     assert validity.silhouette(df.filter("cluster = 0"), cols).first()[0] is None
 
 
+def test_compared_clusterings_are_measured_on_all_rows(spark, monkeypatch):
+    from evalspark.queries import profile
+
+    rng = np.random.default_rng(40)
+    x = np.vstack([rng.normal(size=(3_000, 7)), rng.normal(size=(2_400, 7)) + 2.0, np.repeat(rng.normal(size=(30, 7)) + 1e4, 20, axis=0)])
+    label = np.concatenate([np.repeat([0, 1], [3_000, 2_400]), np.arange(600) % 3 + 2])  # copies in several clusters
+    label[:40], label[40] = -1, 9  # noise, and a row alone
+    d, kept = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), label >= 0
+    names, code = np.unique(label[kept], return_inverse=True)
+    n = np.bincount(code)
+    sums = np.stack([d[np.ix_(kept, label == c)].sum(1) for c in names], axis=1)
+    at = np.arange(len(code))
+    inside, mean = sums[at, code] / np.maximum(n[code] - 1, 1), sums / n
+    mean[at, code] = np.inf
+    outside = mean.min(1)
+    s = np.where(n[code] > 1, (outside - inside) / np.maximum(inside, outside), 0.0)
+    df, cols = frame(spark, x, cluster=label.tolist())
+    monkeypatch.setattr(profile, "SEVEN", cols)
+    monkeypatch.setattr(profile, "clusterings", lambda spark, sf: {"given": df})
+    assert profile.i15_compare_clusterings(spark, "").first()["silhouette"] == pytest.approx(s.mean(), rel=1e-9)
+    # Several passes, whose borders cut clusters.
+    few = validity.silhouette_whole(df.filter("cluster <> -1"), cols, block=700)
+    assert few.first()[0] == pytest.approx(s.mean(), rel=1e-9)
+    assert validity.silhouette_whole(df.filter("cluster = 0"), cols).first()[0] is None
+    assert validity.silhouette_whole(df.limit(0), cols).first()[0] is None
+
+
 def test_many_clusters_in_blocks(spark, monkeypatch):
     x = blobs(13, 300, 2)
     label = np.arange(300) // 6

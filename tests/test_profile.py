@@ -490,6 +490,20 @@ def test_points_of_the_largest_density_cluster_ask_no_other_block(spark, monkeyp
     assert asked[0] < len(x) // 4  # 1,000 and more where every point asked every block within the radius
 
 
+def test_points_ask_only_blocks_with_a_larger_component_in_reach(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    far = np.repeat(rng.uniform(-60, 60, (60, 2)), 7, axis=0)  # small components, which stretch the boxes of blocks
+    x = np.vstack([rng.uniform(0, 1, (900, 2)), rng.uniform(0, 1, (900, 2)) + [10, 0], far])
+    df, cols = frame(spark, x)
+    asked, in_shares = [], dbscan.in_shares
+    monkeypatch.setattr(dbscan, "in_shares", lambda rows, asking, *a: asked.append(asking.count()) or in_shares(rows, asking, *a))
+    got = dbscan.dbscan_sweep(df, cols, [0.4, 3.0], 6, block=60).collect()
+    for eps in (0.4, 3.0):
+        labels = np.array([r["cluster"] for r in sorted((r for r in got if r["eps"] == eps), key=lambda r: r["row_id"])])
+        assert (labels == density_labels(x, eps, 6)).all(), eps
+    assert asked[0] < 300, asked  # 3,000 and more where any point asked any block that held another component
+
+
 def _clouds(rng):
     """Points near zero, far from it, on a grid with ties, and of squares that overflow."""
     yield rng.standard_normal((600, 7))
